@@ -131,18 +131,22 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     t = C.text_of(docs)
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), _long(-(1 << 63))).alias("k"), F.xxhash64(t).alias("h"), F.length(t).cast("long").alias("n"), t.alias("body"), docs["doc_id"].alias("doc_id"))
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), _long(-(1 << 63))).alias("k"), F.xxhash64(t).alias("h"), F.length(t).cast("long").alias("n"), t.alias("body"))
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, body, edited, vec, next_vec): each text, the text whose last quarter comes from the next one's start, and vectors."""
+    """(doc_id, n_chars, body, edited, vec, next_vec): each text, the text whose last quarter comes from the next one's start, and vectors.
+
+    Both uses of the texts take the same columns, so that they share one exchange.
+    """
     base = keyed(docs).drop("n").join(neighbours(docs), ["k", "h"])
     sent = vector(base, "body", "vec").select(
         F.col("prev_k").alias("k"), F.col("prev_h").alias("h"), F.expr("substring(body, 1, CAST(prev_n DIV 4 AS INT))").alias("piece"), F.col("vec").alias("next_vec")
     )
     sent = sent.groupBy("k", "h").agg(F.first("piece").alias("piece"), F.first("next_vec").alias("next_vec"))  # a repeated row sends the same again
     both = base.join(sent, ["k", "h"]).withColumn("edited", F.expr("concat(substring(body, 1, CAST(n - n DIV 4 AS INT)), piece)"))
-    return vector(both, "body", "vec").select("doc_id", F.col("n").alias("n_chars"), "body", "edited", "vec", "next_vec")
+    doc_id = F.when(F.col("k") != _long(-(1 << 63)), F.col("k")).alias("doc_id")
+    return vector(both, "body", "vec").select(doc_id, F.col("n").alias("n_chars"), "body", "edited", "vec", "next_vec")
 
 
 def op9_document_fingerprints(spark, sf_dir: str) -> DataFrame:
