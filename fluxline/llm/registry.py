@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint
+from . import chat, fingerprint, mixing, topk
 
 
 def queries() -> dict:
-    fs = [chat.op1_chat_formatting, fingerprint.op9_document_fingerprints]
+    fs = [chat.op1_chat_formatting, mixing.op8_mixing_sources, fingerprint.op9_document_fingerprints, topk.op10_exact_topk]
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_formatting": chat.SQL}
+    return {"op1_chat_formatting": chat.SQL, "op10_exact_topk": topk.SQL}
