@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct hashed n-grams (``ORDERS`` code points, lower case, a blank at both ends) that it holds. From a training
-sample, the log-count ratio r of a feature compares the shares of toxic and other texts that hold it; the ``KEPT`` features that tell the
-classes apart best (G statistic) go on, each with the value r where present, and a logistic regression weighs them. A text of any length is
+sample, the log-count ratio r of a feature compares the shares of toxic and other texts that hold it; the features that tell the classes
+apart (G statistic at least ``LEAST_G``, the best ``KEPT`` of them) go on, each with the value r where present, and a logistic regression weighs them. A text of any length is
 scored whole.
 
 The training sample is bounded: at most ``SAMPLE`` labelled rows, those with the least hash of doc_id. Its ids are all that is broadcast
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDERS, BITS, CHUNK, KEPT, SAMPLE = (3, 4, 5, 6), 20, 1 << 14, 8192, 20_000
-STEPS, RATE, RIDGE = 120, 0.03, 1e-4
+STEPS, RATE, RIDGE = 120, 0.03, 3e-3
+#: Features under this G statistic are noise (8 is p = 0.005 for one feature).
+LEAST_G = 8.0
 
 
 def ngrams(text: str | None) -> np.ndarray:
@@ -70,12 +72,14 @@ def _present(kept: np.ndarray):
 def _fit(found: list[np.ndarray], toxic: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam steps over the whole sample; returns weights (times r) and intercept."""
     size = np.array([len(f) for f in found])
+    share = np.where(toxic > 0, np.sqrt((toxic == 0).sum() / max(1, (toxic > 0).sum())), 1.0)  # halfway to balanced classes
+    share /= share.sum()
     row, col = np.repeat(np.arange(len(found)), size), np.concatenate(found)
     value, w = r[col], np.zeros(len(r) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
         z = np.bincount(row, value * w[col], minlength=len(found)) + w[-1]
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / len(found)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * share
         grad = np.append(np.bincount(col, value * g[row], minlength=len(r)) + RIDGE * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -103,7 +107,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         own = n.sum() * share
         for seen, expected in ((mine, both * share), (own - mine, (n.sum() - both) * share)):
             g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
-    kept = np.sort(np.argsort(-g, kind="stable")[:KEPT]).astype(np.int32)
+    best = np.argsort(-g, kind="stable")[:KEPT]
+    kept = np.sort(best[g[best] >= LEAST_G]).astype(np.int32)
+    if not len(kept):
+        return weights, float(np.log((n[1] + 0.5) / (n[0] + 1)))
     got = rows.mapInArrow(_present(kept), "toxic int, found array<int>").toArrow()  # at most SAMPLE rows of KEPT features
     found = [f.as_py() for f in got["found"]]
     w, intercept = _fit([np.array(f, np.int32) for f in found], got["toxic"].to_numpy().astype(float), r[kept])
