@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH, NEAR, PACK, BUCKETS = 5, 3, 16 << 20, 2048
+DEPTH, NEAR, PACK, BUCKETS = 6, 3, 16 << 20, 2048
 LISTS = "kind int, bucket int, pack long, items binary, counts binary"
 ANSWERS = "pack long, kind int, bucket int, found binary"
 _KT = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1 << 16) + 0.5))])  # log of 1/2 * 3/2 * ... (n factors)
