@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, lm, mixing, topk, toxicity
+from . import chat, fingerprint, langid, lm, mixing, sentencepiece, topk, toxicity
 
 
 def queries() -> dict:
-    fs = [chat.op1_chat_formatting, toxicity.op2_toxicity, langid.op4_language_id, lm.op5_lm_scoring, mixing.op8_mixing_sources, fingerprint.op9_document_fingerprints, topk.op10_exact_topk]
+    fs = [chat.op1_chat_formatting, toxicity.op2_toxicity, langid.op4_language_id, lm.op5_lm_scoring, sentencepiece.op6_sentencepiece, mixing.op8_mixing_sources, fingerprint.op9_document_fingerprints, topk.op10_exact_topk]
     return {f.__name__: f for f in fs}
 
 
