@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH, NEAR, PACK, BUCKETS = 6, 3, 16 << 20, 2048
+DEPTH, NEAR, PACK, BLOCK, BUCKETS = 6, 3, 16 << 20, 2 << 20, 2048
 LISTS = "kind int, bucket int, pack long, items binary, counts binary"
 ANSWERS = "pack long, kind int, bucket int, found binary"
 _KT = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1 << 16) + 0.5))])  # log of 1/2 * 3/2 * ... (n factors)
@@ -72,6 +72,23 @@ def strings(streams: list[bytes]) -> np.ndarray:
     return key[own]
 
 
+def _blocks(sizes: list[int]):
+    """Ranges of streams that have about BLOCK bytes, so that a pack's strings are never all in memory."""
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= BLOCK or i + 1 == len(sizes):
+            yield lo, i + 1
+            lo, held = i + 1, 0
+
+
+def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(counts, starts)
+
+
 def _bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     near = keys >> np.uint64(8 * (DEPTH + 1 - NEAR))
     return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
@@ -136,13 +153,14 @@ def _list(n: int):
             for pack in batch.to_pylist():
                 streams, zip_ = _streams(pack), zstandard.ZstdCompressor(level=1)
                 learns = [not x for x in pack["held_out"]]
-                keys = strings(streams) << np.uint64(1)
-                keys |= np.repeat(np.array(learns, np.uint64), pack["sizes"])
-                keys.sort()
-                ones = (keys & np.uint64(1)).astype(np.int64)
-                keys >>= np.uint64(1)
-                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                counts, keys = np.add.reduceat(ones, starts), keys[starts]
+                parts = []
+                for lo, hi in _blocks(pack["sizes"]):
+                    keys = strings(streams[lo:hi]) << np.uint64(1)
+                    keys |= np.repeat(np.array(learns[lo:hi], np.uint64), pack["sizes"][lo:hi])
+                    keys.sort()
+                    starts = np.flatnonzero(np.append(True, keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)))
+                    parts.append((keys[starts] >> np.uint64(1), np.add.reduceat((keys & np.uint64(1)).astype(np.int32), starts)))
+                keys, counts = _distinct(*map(np.concatenate, zip(*parts)))
                 bucket = _bucket_of(keys, n)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -188,10 +206,7 @@ def _merged(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
     """[(pack, its strings)], all distinct strings, their training counts."""
     lists = [(r["pack"], _grown(r["items"], np.uint64), np.frombuffer(zstandard.decompress(r["counts"]), np.uint32)) for r in table.to_pylist()]
     every, counts = np.concatenate([x[1] for x in lists]), np.concatenate([x[2] for x in lists]).astype(np.int64)
-    order = np.argsort(every)
-    every, counts = every[order], counts[order]
-    starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-    return [x[:2] for x in lists], every[starts], np.add.reduceat(counts, starts)
+    return [x[:2] for x in lists], *_distinct(every, counts)
 
 
 def _tree(keys: np.ndarray, counts: np.ndarray) -> tuple[list, list]:
@@ -342,9 +357,7 @@ def _score(n: int, occurrences: int, distinct: int):
         found = {(a["kind"], a["bucket"]): a["found"] for a in answers.to_pylist()}
         pack = packs.to_pylist()[0]
         streams = _streams(pack)
-        keys = strings(streams)
-        own = np.sort(keys)
-        own = own[np.append(True, own[1:] != own[:-1])]
+        own = np.unique(np.concatenate([np.unique(strings(streams[lo:hi])) for lo, hi in _blocks(pack["sizes"])]))
         bucket = _bucket_of(own, n)
         log_p = np.zeros(len(own), np.float32)
         order = np.argsort(bucket, kind="stable")
@@ -352,11 +365,10 @@ def _score(n: int, occurrences: int, distinct: int):
         for b in range(n):
             if ends[b] < ends[b + 1]:
                 log_p[order[ends[b] : ends[b + 1]]] = np.frombuffer(found[0, b], np.float32)
-        at, starts = _Index(own), np.cumsum([0, *pack["sizes"][:-1]])
-        score = np.zeros(len(streams))
-        for i in range(0, len(streams), 1024):  # some MB at a time
-            lo, hi = starts[i], starts[i + 1024] if i + 1024 < len(streams) else len(keys)
-            score[i : i + 1024] = np.add.reduceat(log_p[at(keys[lo:hi])].astype(float), starts[i : i + 1024] - lo)
+        at, score = _Index(own), np.zeros(len(streams))
+        for lo, hi in _blocks(pack["sizes"]):
+            starts = np.cumsum([0, *pack["sizes"][lo : hi - 1]])
+            score[lo:hi] = np.add.reduceat(log_p[at(strings(streams[lo:hi]))].astype(float), starts)
         place: dict[bytes, int] = {}
         for b, tokens in enumerate(_by_bucket({t for s in streams for t in s.split()} | {b"\n"}, n)):
             if tokens:
