@@ -139,6 +139,24 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{kept}score double, predicted int")
 
 
+def _clean(model):
+    def clean(batches):
+        weights, intercept = model.value
+        for batch in batches:
+            keep = []
+            for text in batch.column("text"):
+                f = ngrams(text.as_py())
+                keep.append(bool(weights[np.unique(f[weights[f] != 0])].sum(dtype=float) + intercept < 0))  # a score under 0.5
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return clean
+
+
+def clean(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """The rows of docs that score under 0.5, unchanged."""
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
     model = train(docs.select("doc_id", "text"), labels.filter(C.crc_bucket("doc_id", 5) != 0).select("doc_id", "toxic"))
