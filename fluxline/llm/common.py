@@ -23,9 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
+    """Write df as a table in the shared folder and read it back: lineage ends there and a lost executor costs no recomputation.
+
+    Spark removes a shuffle's files once the driver has collected the frames that made it, which a driver with a large heap may put off for long;
+    so the driver is asked to collect its garbage after each cut.
+    """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,8 +12,7 @@ a cell. Cells are found by packs of documents: a pack sends each bucket of cells
 point, and is told which of them are crowded. A cell of a third of all points is thus one entry a pack.
 
 Within crowded cells, all points first meet their cell's leader (those of one leader in blocks), so that a group of copies links as a star.
-Cells that still hold several components then meet a second leader, and what is left after that is joined in full, component against component,
-in blocks of bounded size. Pairs of one component need no test, so no link between components is lost.
+Where cells still hold several components, points outside a cell's main component then meet the one partner that the bound puts nearest; and what is left after that is joined in full, component against component, in blocks of bounded size. Pairs of one component need no test, so no link between components is lost.
 
 Documents without words have an empty set and link with nothing. Rows may repeat; a null doc_id counts as the largest id. Different shingles
 of the same 64-bit hash are as likely as 2**-64 a pair.
@@ -32,9 +31,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-WORDS, GROUPS, PACK, STRETCH = 5, 64, 16 << 20, 1 << 20
+WORDS, GROUPS, PACK, STRETCH = 5, 128, 16 << 20, 1 << 20
 #: Cells' keys a bucket, points of a block of a crowded cell, rows of a joining task, and children of a tree node.
-KEYS, BLOCK, ROWS, FANOUT = 1_500_000, 4096, 50_000, 8
+KEYS, BLOCK, ROWS, FANOUT = 1_500_000, 4096, 20_000, 8
+#: A count of this or more: it bounds nothing.
+FULL = (1 << 16) - 1
 _U = np.uint64
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -103,7 +104,7 @@ def _points(batches):
         for s in shingler.sets(batch.column("text").to_pylist()):
             h.append(_point(s))
             n.append(len(s))
-            counts.append(np.bincount((s >> _U(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+            counts.append(np.minimum(np.bincount((s >> _U(57)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16).tobytes())
         cols = [batch.column("doc_id"), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(counts, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n", "counts"])
 
@@ -189,7 +190,7 @@ _zero = np.uint32(0)
 
 
 def _crowded(table: pa.Table) -> pa.Table:
-    """For every pack of a bucket the places of its keys that hold different points, and the least and greatest of these points."""
+    """For every pack of a bucket the places of its keys that hold different points, and the least of these, their leader."""
     packs, keys, low, high = [], [], [], []
     for r in table.to_pylist():
         points = np.frombuffer(r["points"], np.uint64)
@@ -202,20 +203,20 @@ def _crowded(table: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.append(True, np.diff(every[order]) != 0))
     least, most, distinct = np.minimum.reduceat(least[order], at), np.maximum.reduceat(most[order], at), every[order][at]
     several = np.flatnonzero(least != most)
-    distinct, least, most = distinct[several], least[several], most[several]
+    distinct, least = distinct[several], least[several]
     out = []
     for pack, own in zip(packs, keys):
         if len(distinct):
             to = np.minimum(np.searchsorted(distinct, own), len(distinct) - 1)
             hit = np.flatnonzero(distinct[to] == own)
             if len(hit):
-                out.append((table["bucket"][0].as_py(), pack, hit.astype(np.uint32).tobytes(), least[to[hit]].tobytes(), most[to[hit]].tobytes()))
-    cols = list(zip(*out)) or [[]] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), *[pa.binary()] * 3])], names=["bucket", "pack", "at", "least", "most"])
+                out.append((table["bucket"][0].as_py(), pack, hit.astype(np.uint32).tobytes(), least[to[hit]].tobytes()))
+    cols = list(zip(*out)) or [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.binary(), pa.binary()])], names=["bucket", "pack", "at", "leader"])
 
 
 def _members(batches):
-    """(cell, h, least, most) of every entry of a crowded cell."""
+    """(cell, h, leader) of every entry of a crowded cell."""
     for batch in batches:
         for r in batch.to_pylist():
             points, at = np.frombuffer(r["points"], np.uint64), np.frombuffer(r["at"], np.uint32)
@@ -224,8 +225,8 @@ def _members(batches):
             n = n[at]
             entry = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
             cell = (np.int64(r["bucket"]) << np.int64(32)) | keys[at].astype(np.int64)
-            cols = [np.repeat(cell, n), points[docs[entry]].view(np.int64), *(np.repeat(np.frombuffer(r[c], np.int64), n) for c in ("least", "most"))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "h", "least", "most"])
+            cols = [np.repeat(cell, n), points[docs[entry]].view(np.int64), np.repeat(np.frombuffer(r["leader"], np.int64), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "h", "leader"])
 
 
 class RTree:
@@ -239,7 +240,7 @@ class RTree:
             at = np.arange(0, len(lo), FANOUT)
             self.levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.minimum.reduceat(size, at), np.maximum.reduceat(most, at)))
 
-    def join(self, cell: np.ndarray, n: np.ndarray, counts: np.ndarray, room: int = 1 << 18):
+    def join(self, cell: np.ndarray, n: np.ndarray, counts: np.ndarray, room: int = 1 << 15):
         """(query, point) of one cell that can share 4/9 of both sizes, by the sum of the lesser counts."""
         for lo in range(0, len(cell), 4096):
             todo = [(len(self.levels) - 1, np.arange(lo, min(lo + 4096, len(cell))), np.zeros(min(4096, len(cell) - lo), np.int64))]
@@ -259,34 +260,70 @@ class RTree:
                 todo += [(level - 1, q[i : i + room], node[i : i + room]) for i in range(0, len(q), room)]
 
 
-def _joined(queries: pa.Table, indexed: pa.Table) -> pa.Table:
-    out = [np.zeros((2, 0), np.int64)]
-    if queries.num_rows and indexed.num_rows:
-        (qc, qh, qk, qn, qv), (xc, xh, xk, xn, xv) = (
-            (*(t[c].to_numpy() for c in ("cell", "h", "comp", "n")), np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint32).reshape(-1, GROUPS)) for t in (queries, indexed)
-        )
-        for q, x in RTree(xc, xn, xv).join(qc, qn, qv):
-            keep = qk[q] != xk[x]
-            a, b = qh[q[keep]], xh[x[keep]]
-            out.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1))
-    a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+def _side(t: pa.Table) -> tuple[np.ndarray, ...]:
+    counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint16).astype(np.int32).reshape(-1, GROUPS)
+    counts[counts == FULL] = 1 << 30
+    return (*(t[c].to_numpy() for c in ("cell", "h", "comp", "n")), counts)
+
+
+def _joined(parts: int, nearest: bool):
+    """The pairs of a task, once each: for every greater point a and part of its partners, their list. nearest: for every query the one partner
+    that the bound puts nearest, with that likeness."""
+
+    def joined(queries: pa.Table, indexed: pa.Table) -> pa.Table:
+        out, near = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+        if queries.num_rows and indexed.num_rows:
+            (qc, qh, qk, qn, qv), (xc, xh, xk, xn, xv) = _side(queries), _side(indexed)
+            for q, x in RTree(xc, xn, xv).join(qc, qn, qv):
+                keep = qk[q] != xk[x]
+                q, x = q[keep], x[keep]
+                a, b = qh[q], xh[x]
+                if nearest:
+                    shared = np.minimum(np.minimum(qv[q], xv[x]).sum(axis=1, dtype=np.int64), np.minimum(qn[q], xn[x]))
+                    near.append(shared / (qn[q] + xn[x] - shared))
+                    out.append(np.stack([a, b]))
+                else:
+                    out.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1))
+        a, b = np.concatenate(out, axis=1)
+        near = np.concatenate(near)
+        if nearest:
+            by = np.lexsort((b, -near, a))
+            at = by[np.flatnonzero(np.append(True, a[by][1:] != a[by][:-1]))] if len(a) else by
+            return pa.table([pa.array(a[at]), pa.array(np.zeros(len(at), np.int32)), pa.array([[x] for x in b[at].tolist()], pa.list_(pa.int64())), pa.array(near[at])], names=["a", "part", "bs", "near"])
+        a, b = np.unique(np.stack([a, b]), axis=1)
+        part = (_mix(b.view(np.uint64)) % _U(parts)).astype(np.int32)
+        by = np.lexsort((part, a))
+        a, b, part = a[by], b[by], part[by]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (part[1:] != part[:-1]))) if len(a) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(a)).astype(np.int32)), pa.array(b))
+        return pa.table([pa.array(a[at]), pa.array(part[at]), lists, pa.array(np.ones(len(at)))], names=["a", "part", "bs", "near"])
+
+    return joined
+
+
+def tree_join(queries: DataFrame, indexed: DataFrame, points: DataFrame, nearest: bool = False) -> DataFrame:
+    """Distinct (a, b) of queries and indexed (cell, h, comp) that share a cell, not a component, and pass the bound. Large cells go in blocks.
+
+    Two points often share many cells; their pair comes once from each task, within a list of partners, and lists of one point meet in parts of
+    about a block. nearest: only the pair of each query and the partner that the bound puts nearest.
+    """
 
-
-def tree_join(queries: DataFrame, indexed: DataFrame, points: DataFrame) -> DataFrame:
-    """Distinct (a, b) of queries and indexed (cell, h, comp) that share a cell, not a component, and pass the bound. Large cells go in blocks."""
     def split(df, name):
         return df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias(name))
 
     sizes = C.cut(split(queries, "nq").join(split(indexed, "nx"), "cell"))
-    tasks = max(1, -(-(sizes.agg(F.sum(F.col("nq") * F.col("nx"))).first()[0] or 0) * 2 // ROWS), -(-queries.count() // ROWS))
+    blocks, parts = sizes.agg(F.sum(F.col("nq") * F.col("nx")), F.max(F.greatest("nq", "nx"))).first()
+    tasks = max(1, -(-(blocks or 0) * 2 // ROWS), -(-queries.count() // ROWS))
     sides = []
     for df, own, other in ((queries, "nq", "nx"), (indexed, "nx", "nq")):
         df = df.join(sizes, "cell").join(points.select("h", "n", "counts"), "h")
         df = df.withColumn(own, F.pmod(F.xxhash64("h"), F.col(own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1)))
-        task = F.pmod(F.xxhash64("cell", F.col("nq").cast("long"), F.col("nx").cast("long")), F.lit(tasks))
-        sides.append(df.select(task.alias("task"), (F.xxhash64("cell", F.col("nq").cast("long"), F.col("nx").cast("long"))).alias("cell"), *(F.col(c).alias(c) for c in ("h", "comp", "n", "counts"))))
-    return sides[0].groupBy("task").cogroup(sides[1].groupBy("task")).applyInArrow(_joined, "a long, b long").distinct()
+        block = F.xxhash64("cell", F.col("nq").cast("long"), F.col("nx").cast("long"))
+        sides.append(df.select(F.pmod(block, F.lit(tasks)).alias("task"), block.alias("cell"), *(F.col(c).alias(c) for c in ("h", "comp", "n", "counts"))))
+    found = sides[0].groupBy("task").cogroup(sides[1].groupBy("task")).applyInArrow(_joined(int(parts or 1), nearest), "a long, part int, bs array<long>, near double")
+    if nearest:
+        return found.groupBy("a").agg(F.max_by(F.col("bs")[0], F.struct("near", F.col("bs")[0])).alias("b"))
+    return found.groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
 
 
 def _verify(batches):
@@ -316,7 +353,7 @@ def _bodies(batches):
     zip_ = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         bodies = [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(bodies, pa.binary())], ["h", "body"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
 
 
 def _held(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -326,10 +363,10 @@ def _held(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (cell, h, ...) of cells that hold more than one component, with comp."""
+    """Members (cell, h) of cells that hold more than one component, with comp."""
     own = members.drop("comp").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("root", "h")).drop("root")
     several = own.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell")
-    return C.cut(own.join(several, "cell"))
+    return C.cut(own.join(several, "cell").distinct())
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -338,24 +375,25 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     total, most = points.agg(F.sum("n"), F.max("n")).first()
     bits = max(0, (int(total or 0) // 2 // KEYS).bit_length())
     lists = C.cut(docs.select("text").mapInArrow(_list(bits, int(most or 1)), LISTS))
-    crowded = lists.select("bucket", "pack", "points", "keys", "low", "high").groupBy("bucket").applyInArrow(_crowded, "bucket int, pack long, at binary, least binary, most binary")
+    crowded = lists.select("bucket", "pack", "points", "keys", "low", "high").groupBy("bucket").applyInArrow(_crowded, "bucket int, pack long, at binary, leader binary")
     entries = lists.drop("low", "high").join(crowded, ["bucket", "pack"])
-    members = C.cut(entries.mapInArrow(_members, "cell long, h long, least long, most long").distinct())
+    members = C.cut(entries.mapInArrow(_members, "cell long, h long, leader long"))
     wanted = members.select("h").distinct().join(points.select("h", "doc_id"), "h")
-    bodies = docs.join(wanted, "doc_id").select("h", "text").mapInArrow(_bodies, "h long, body binary")
+    bodies = docs.mapInArrow(_bodies, "doc_id long, body binary").join(wanted, "doc_id")  # texts travel compressed
     bodies = C.cut(bodies.groupBy("h").agg(F.first("body").alias("body")))
-    edges, rest = None, members
-    for leader in ("least", "most"):
-        # a point meets the leader that it shares the most cells with
-        pairs = rest.filter(F.col("h") != F.col(leader)).groupBy("h", leader).count().groupBy("h").agg(F.max_by(leader, F.struct("count", leader)).alias("cell"))
-        pairs = C.cut(pairs)
-        led = pairs.select("cell").distinct().select("cell", F.col("cell").alias("h"), F.col("cell").alias("comp"))
-        got = _held(tree_join(pairs.select("cell", "h", F.col("h").alias("comp")), led, points), bodies)
-        edges = got if edges is None else edges.unionByName(got)
-        rest = _mixed(rest, components(edges))
-    sizes = rest.groupBy("cell", "comp").count().groupBy("cell").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    queries = rest.join(sizes, "cell").filter("comp <> main").select("cell", "h", "comp")
-    return edges.unionByName(_held(tree_join(queries, rest.select("cell", "h", "comp"), points), bodies))
+    # a point meets the leader that it shares the most cells with
+    pairs = members.filter("h <> leader").groupBy("h", "leader").count().groupBy("h").agg(F.max_by("leader", F.struct("count", "leader")).alias("cell"))
+    pairs = C.cut(pairs)
+    led = pairs.select("cell").distinct().select("cell", F.col("cell").alias("h"), F.col("cell").alias("comp"))
+    edges = _held(tree_join(pairs.select("cell", "h", F.col("h").alias("comp")), led, points), bodies)
+    rest = _mixed(members.select("cell", "h"), components(edges))
+    for nearest in (True, False):
+        sizes = rest.groupBy("cell", "comp").count().groupBy("cell").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+        queries = rest.join(sizes, "cell").filter("comp <> main").select("cell", "h", "comp")
+        edges = edges.unionByName(_held(C.cut(tree_join(queries, rest.select("cell", "h", "comp"), points, nearest)), bodies))
+        if nearest:
+            rest = _mixed(rest, components(edges))
+    return edges
 
 
 def near_components(docs: DataFrame) -> DataFrame:
