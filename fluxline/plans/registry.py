@@ -2,10 +2,258 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo as G
+from ..operators import checks as K
+from ..operators import crossovers as X
+from ..operators import runs as R
+from ..operators.survey import with_segments, with_steps
+from ..spec import SurveySpec
+from . import adapters as A
+from . import qc
+
+#: Limits that make the driver's tables pass and fail in parts.
+SPEC = SurveySpec(max_gap=86400, max_along_line_sep=6.2, max_deviation=1.5, clearance_tol=15, line_spacing=210, line_spacing_tol=0.04, max_diurnal_dev=60, diurnal_window=4 * 3600, max_crossover_abs=300, max_crossover_rms=150, max_heading_error=50, max_levelled_abs=200, max_levelled_rms=100, fourth_diff_tol=20)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 5) for c in names})
+
+
+def _flags(result: K.CheckResult) -> DataFrame:
+    return _rounded(result.flags.select("line", "i_start", "i_end", "x", "y", "value", "threshold"), "x", "y", "value")
+
+
+def _metric(result: K.CheckResult) -> DataFrame:
+    return _rounded(result.metric.select("value", "threshold"), "value")
+
+
+def as_survey(spark, sf_dir):
+    return _rounded(A.events_survey(spark, sf_dir).select("line", "line_type", "fid", "seq", "i", "x", "y", "mag", "radar_alt"), "x", "y", "radar_alt")
+
+
+def enu_lonlat(spark, sf_dir):
+    return _rounded(A.events_survey(spark, sf_dir).select("line", "seq", "lon", "lat"), "lon", "lat")
+
+
+def step_bearing(spark, sf_dir):
+    w = Window.partitionBy("line").orderBy("seq")
+    df = with_steps(A.events_survey(spark, sf_dir)).withColumn("bearing", G.bearing(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+    return _rounded(df.select("line", "seq", "dt", "step", "along", "bearing", G.compass(F.col("bearing")).alias("compass")), "dt", "step", "along", "bearing")
+
+
+def segments(spark, sf_dir):
+    df = with_segments(A.events_survey(spark, sf_dir), SPEC.max_gap)
+    return df.groupBy("line", "seg").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
+
+
+def runs(spark, sf_dir):
+    return R.intervals(R.runs(A.events_survey(spark, sf_dir), ["line"], "seq", F.col("mag") > 54250), ["line"]).drop("run")
+
+
+def fourth_difference(spark, sf_dir):
+    s, w = A.lineitem_survey(spark, sf_dir), Window.partitionBy("line")
+    d4 = R.fourth_difference(F.col("mag"), w.orderBy("seq"), F.count("*").over(w))
+    return s.select("line", "seq", F.round(d4, 3).alias("d4"))
+
+
+def running_median(spark, sf_dir):
+    return _rounded(R.running_median(A.events_survey(spark, sf_dir).select("line", "seq", "mag"), ["line"], "seq", "mag", 21, "median").select("line", "seq", "median"), "median")
+
+
+def running_max(spark, sf_dir):
+    return (A.lineitem_survey(spark, sf_dir).select("line", "seq", R.running(F.max, F.col("mag"), ["line"], "seq", 21).alias("most"), R.running(F.avg, F.col("mag"), ["line"], "seq", 21).alias("mean")).withColumns({c: F.round(c, 3) for c in ("most", "mean")}))
+
+
+def line_stats(spark, sf_dir):
+    s = with_steps(A.events_survey(spark, sf_dir))
+    return _rounded(s.groupBy("line", "line_type").agg(F.count("*").alias("n"), F.sum("step").alias("length"), F.median("mag").alias("median_mag"), F.percentile("mag", 0.95).alias("p95"), F.sqrt(F.avg(F.col("step") * F.col("step"))).alias("rms_step")), "length", "median_mag", "p95", "rms_step")
+
+
+def _check(f, part=_flags, survey=A.events_survey):
+    return lambda spark, sf_dir: part(f(survey(spark, sf_dir), SPEC))
+
+
+def diurnal_correction(spark, sf_dir):
+    df = K.diurnal_correction(A.events_survey(spark, sf_dir), A.base_station(spark, sf_dir))
+    return _rounded(df.select("line", "seq", "mag"), "mag")
+
+
+def diurnal_chord(spark, sf_dir):
+    return _rounded(K.diurnal_chords(A.base_station(spark, sf_dir), SPEC).select("k", "dev", "exceed"), "dev")
+
+
+def check_diurnal(spark, sf_dir):
+    r = K.diurnal(A.events_survey(spark, sf_dir), SPEC, A.base_station(spark, sf_dir))
+    return _rounded(r.flags.select("line", "i_start", "i_end", "value", "threshold"), "value")
+
+
+def _crossings(spark, sf_dir):
+    s = A.events_survey(spark, sf_dir)
+    return s, X.crossovers(s)
+
+
+def crossovers(spark, sf_dir):
+    return _crossings(spark, sf_dir)[1]
+
+
+def check_crossovers(spark, sf_dir):
+    s, x = _crossings(spark, sf_dir)
+    return X.crossover_misfit(s, SPEC, x).flags
+
+
+def check_heading_error(spark, sf_dir):
+    s, x = _crossings(spark, sf_dir)
+    return X.heading_error(s, SPEC, x).metric
+
+
+def _level(order, part):
+    def query(spark, sf_dir):
+        s, x = _crossings(spark, sf_dir)
+        levelled, coefficients, after = X.level_ties(s, x, order)
+        return coefficients if part == "coefficients" else X.levelling_residual(levelled, SPEC, after).flags
+
+    return query
+
+
+def _result(spark, sf_dir):
+    return qc.run_qc(A.events_survey(spark, sf_dir), SPEC, A.base_station(spark, sf_dir))
+
+
+def scorecard(spark, sf_dir):
+    return _result(spark, sf_dir).scorecard
+
+
+def flag_table(spark, sf_dir):
+    return qc.flag_table(_result(spark, sf_dir).flags)
+
+
+def lines(spark, sf_dir):
+    return _result(spark, sf_dir).lines
+
+
+def survey_stats(spark, sf_dir):
+    return _result(spark, sf_dir).stats
+
 
 def queries() -> dict:
-    return {}
+    plain = [as_survey, enu_lonlat, step_bearing, segments, runs, fourth_difference, running_median, running_max, line_stats, diurnal_correction, diurnal_chord, check_diurnal, crossovers, check_crossovers, check_heading_error, scorecard, flag_table, lines, survey_stats]
+    return {f.__name__: f for f in plain} | {
+        "check_sample_interval": _check(K.sample_interval),
+        "metric_sample_interval": _check(K.sample_interval, _metric),
+        "check_along_line_spacing": _check(K.along_line_spacing),
+        "check_line_deviation": _check(K.line_deviation),
+        "metric_line_deviation": _check(K.line_deviation, _metric),
+        "check_line_separation": lambda spark, sf_dir: K.line_separation(A.events_survey(spark, sf_dir), SPEC).flags.select("line", F.round("value", 5).alias("value"), "threshold"),
+        "check_clearance": _check(K.clearance),
+        "metric_clearance": _check(K.clearance, _metric),
+        "check_spikes": _check(K.spikes, lambda r: r.flags, A.lineitem_survey),
+        "check_fourth_difference": _check(K.fourth_difference_noise, lambda r: r.flags, A.lineitem_survey),
+        "level_ties_constant": _level("constant", "coefficients"),
+        "level_ties_linear": _level("linear", "coefficients"),
+        "check_levelling_residual": _level("linear", "flags"),
+    }
+
+
+EVENTS = """
+WITH e AS (
+  SELECT event_id, ts, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), e1 AS (
+  SELECT CASE WHEN user_id % 15 = 0 THEN 'T' ELSE 'L' END || user_id AS line, ts AS time, event_id AS fid, n AS seq, 54000 + value AS mag, 60 + (value - 250) / 10 AS radar_alt,
+         CASE WHEN user_id % 15 = 0 THEN 450.0::DOUBLE * n ELSE 200.0::DOUBLE * user_id + 2 * sin(n / 9) END AS x,
+         CASE WHEN user_id % 15 = 0 THEN 30.0::DOUBLE * (user_id // 15 + 1) + 2 * sin(n / 9) ELSE 6.0::DOUBLE * n END AS y
+  FROM e
+), s AS (
+  SELECT *, CASE WHEN line LIKE 'T%' THEN 'tie' ELSE 'traverse' END AS line_type, row_number() OVER (ORDER BY line LIKE 'T%', line, seq) AS i,
+         epoch_us(time) / 1e6 - lag(epoch_us(time) / 1e6) OVER w AS dt, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step
+  FROM e1 WINDOW w AS (PARTITION BY line ORDER BY seq)
+)
+"""
+LINEITEM = """
+WITH s AS (
+  SELECT 'L' || l_suppkey AS line, 54000 + l_extendedprice / 1000 AS mag,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS seq
+  FROM lineitem
+)
+"""
+BASE = """, b0 AS (
+  SELECT date_trunc('hour', ts) AS time, avg(value) AS b FROM events GROUP BY 1
+), b AS (
+  SELECT time, epoch_us(time) / 1e6 AS t, b, row_number() OVER (ORDER BY time) AS k FROM b0
+)
+"""
+
+
+def _runs_sql(mark: str, value: str, threshold: str, source: str = "s") -> str:
+    return f""", m AS (SELECT *, coalesce({mark}, false) AS mark FROM {source}),
+g AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY seq) - row_number() OVER (PARTITION BY line, mark ORDER BY seq) AS run FROM m)
+SELECT line, arg_min(i, seq) AS i_start, arg_max(i, seq) AS i_end, round((arg_min(x, seq) + arg_max(x, seq)) / 2, 5) AS x, round((arg_min(y, seq) + arg_max(y, seq)) / 2, 5) AS y,
+       round({value}, 5) AS value, {threshold}::DOUBLE AS threshold
+FROM g WHERE mark GROUP BY line, run
+"""
+
+
+OFFSETS = """, c AS (
+  SELECT line, avg(x) AS cx, avg(y) AS cy, 0.5::DOUBLE * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM s GROUP BY line HAVING count(*) >= 3
+), o AS (
+  SELECT s.*, (x - cx) * -sin(a) + (y - cy) * cos(a) AS dev FROM s JOIN c USING (line)
+)
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "as_survey": EVENTS + "SELECT line, line_type, fid, seq, i, round(x, 5) AS x, round(y, 5) AS y, mag, round(radar_alt, 5) AS radar_alt FROM s",
+        "enu_lonlat": EVENTS
+        + """, p AS (SELECT *, 40 + y / (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(40)) + 1.175::DOUBLE * cos(4 * radians(40)) - 0.0023::DOUBLE * cos(6 * radians(40))) AS la FROM s),
+q AS (SELECT *, radians((40 + la) / 2) AS m FROM p)
+SELECT line, seq, round(-100 + x / (111412.84::DOUBLE * cos(m) - 93.5::DOUBLE * cos(3 * m) + 0.118::DOUBLE * cos(5 * m)), 5) AS lon, round(la, 5) AS lat FROM q""",
+        "step_bearing": EVENTS
+        + """, p AS (SELECT line, seq, dt, step, sum(coalesce(step, 0)) OVER w AS along, degrees(atan2(x - lag(x) OVER w, y - lag(y) OVER w)) AS d FROM s WINDOW w AS (PARTITION BY line ORDER BY seq)),
+q AS (SELECT *, CASE WHEN d < 0 THEN d + 360 ELSE d END AS bearing FROM p)
+SELECT line, seq, round(dt, 5) AS dt, round(step, 5) AS step, round(along, 5) AS along, round(bearing, 5) AS bearing, CASE WHEN bearing IS NOT NULL THEN (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[1 + (round_even(bearing / 45, 0)::INT % 8)] END AS compass FROM q""",
+        "segments": EVENTS + f", p AS (SELECT *, sum(CASE WHEN dt > {SPEC.max_gap} THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY seq)::BIGINT AS seg FROM s) SELECT line, seg, min(seq) AS first, max(seq) AS last, count(*) AS n FROM p GROUP BY line, seg",
+        "runs": EVENTS
+        + """, g AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY seq) - row_number() OVER (PARTITION BY line, mag > 54250 ORDER BY seq) AS run FROM s)
+SELECT line, min(seq) AS start, max(seq) AS "end", count(*) AS n FROM g WHERE mag > 54250 GROUP BY line, run""",
+        "fourth_difference": LINEITEM + "SELECT line, seq, round((lag(mag, 2) OVER w - 4 * lag(mag) OVER w + 6 * mag - 4 * lead(mag) OVER w + lead(mag, 2) OVER w) / 16, 3) AS d4 FROM s WINDOW w AS (PARTITION BY line ORDER BY seq)",
+        "running_median": EVENTS
+        + """, a AS (SELECT line, seq, mag, count(*) OVER (PARTITION BY line) AS n FROM s),
+b AS (SELECT *, CASE WHEN count(mag) OVER f = 21 THEN median(mag) OVER f END AS whole, median(mag) OVER (PARTITION BY line) AS every,
+      median(CASE WHEN seq < n THEN mag END) OVER (PARTITION BY line) AS m1, median(CASE WHEN seq > 1 THEN mag END) OVER (PARTITION BY line) AS m2
+      FROM a WINDOW f AS (PARTITION BY line ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING))
+SELECT line, seq, round(CASE WHEN n < 3 THEN mag WHEN n >= 21 THEN coalesce(whole, CASE WHEN seq <= 10 THEN first_value(whole IGNORE NULLS) OVER u ELSE last_value(whole IGNORE NULLS) OVER u END)
+       WHEN n % 2 = 1 THEN every WHEN seq <= n / 2 THEN m1 ELSE m2 END, 5) AS median
+FROM b WINDOW u AS (PARTITION BY line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+        "running_max": LINEITEM + "SELECT line, seq, round(max(mag) OVER w, 3) AS most, round(avg(mag) OVER w, 3) AS mean FROM s WINDOW w AS (PARTITION BY line ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)",
+        "line_stats": EVENTS + "SELECT line, line_type, count(*) AS n, round(sum(step), 5) AS length, round(median(mag), 5) AS median_mag, round(quantile_cont(mag, 0.95), 5) AS p95, round(sqrt(avg(step * step)), 5) AS rms_step FROM s GROUP BY line, line_type",
+        "check_sample_interval": EVENTS
+        + f""", p AS (SELECT *, lag(i) OVER w AS pi, lag(x) OVER w AS px, lag(y) OVER w AS py FROM s WINDOW w AS (PARTITION BY line ORDER BY seq))
+SELECT line, pi AS i_start, i AS i_end, round((px + x) / 2, 5) AS x, round((py + y) / 2, 5) AS y, round(dt, 5) AS value, {SPEC.max_gap}::DOUBLE AS threshold FROM p WHERE dt > {SPEC.max_gap}""",
+        "metric_sample_interval": EVENTS + f"SELECT round(greatest(max(dt), 0), 5) AS value, {SPEC.max_gap}::DOUBLE AS threshold FROM s",
+        "check_along_line_spacing": EVENTS
+        + f""", p AS (SELECT *, lag(i) OVER w AS pi, lag(x) OVER w AS px, lag(y) OVER w AS py, coalesce(dt <= {SPEC.max_gap} AND step > {SPEC.max_along_line_sep}, false) AS mark FROM s WINDOW w AS (PARTITION BY line ORDER BY seq)),
+g AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY seq) - row_number() OVER (PARTITION BY line, mark ORDER BY seq) AS run FROM p)
+SELECT line, arg_min(pi, seq) AS i_start, arg_max(i, seq) AS i_end, round((arg_min(px, seq) + arg_max(x, seq)) / 2, 5) AS x, round((arg_min(py, seq) + arg_max(y, seq)) / 2, 5) AS y,
+       round(max(step), 5) AS value, {SPEC.max_along_line_sep}::DOUBLE AS threshold FROM g WHERE mark GROUP BY line, run""",
+        "check_line_deviation": EVENTS + OFFSETS + _runs_sql(f"abs(dev) > {SPEC.max_deviation}", "max(abs(dev))", f"{SPEC.max_deviation}", "o"),
+        "metric_line_deviation": EVENTS + OFFSETS + f"SELECT round(quantile_cont(abs(dev), 0.95), 5) AS value, {SPEC.max_deviation}::DOUBLE AS threshold FROM o",
+        "check_line_separation": EVENTS
+        + f""", c AS (SELECT line, avg(x) AS across FROM s WHERE line_type = 'traverse' GROUP BY line), p AS (SELECT lag(line) OVER w || ' / ' || line AS line, across - lag(across) OVER w AS value FROM c WINDOW w AS (ORDER BY across, line))
+SELECT line, round(value, 5) AS value, {SPEC.line_spacing}::DOUBLE AS threshold FROM p WHERE abs((value - {SPEC.line_spacing}) / {SPEC.line_spacing} * 100) > {SPEC.line_spacing_tol * 100}""",
+        "check_clearance": EVENTS + _runs_sql(f"abs(radar_alt - {SPEC.nominal_clearance}) > {SPEC.clearance_tol}", f"arg_max(radar_alt - {SPEC.nominal_clearance}, (abs(radar_alt - {SPEC.nominal_clearance}), -seq))", f"{SPEC.clearance_tol}"),
+        "metric_clearance": EVENTS + f"SELECT round(quantile_cont(abs(radar_alt - {SPEC.nominal_clearance}), 0.95), 5) AS value, {SPEC.clearance_tol}::DOUBLE AS threshold FROM s",
+        "diurnal_correction": EVENTS
+        + BASE
+        + """, v AS (SELECT *, lead(t) OVER (ORDER BY t) AS t1, lead(b) OVER (ORDER BY t) AS b1 FROM b), z AS (SELECT median(b) AS datum, arg_min(b, t) AS first, arg_max(b, t) AS last FROM b)
+SELECT line, seq, round(mag - (CASE WHEN v.t IS NULL THEN z.first WHEN v.t1 IS NULL THEN z.last ELSE v.b + (v.b1 - v.b) * (epoch_us(s.time) / 1e6 - v.t) / (v.t1 - v.t) END - z.datum), 5) AS mag
+FROM s ASOF LEFT JOIN v ON epoch_us(s.time) / 1e6 >= v.t CROSS JOIN z""",
+        "diurnal_chord": "WITH one AS (SELECT 1)" + BASE + _CHORDS + "SELECT k, round(dev, 5) AS dev, coalesce(max(coalesce(dev > 60, false)) OVER (ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), false) AS exceed FROM d",
+    }
+
+
+_CHORDS = """, r AS (SELECT *, list({'t': t, 'b': b}) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS l FROM b),
+d AS (SELECT k, CASE WHEN len(l) = 5 THEN list_max(list_transform(l, lambda p: abs(p.b - (l[1].b + (l[5].b - l[1].b) * (p.t - l[1].t) / (l[5].t - l[1].t))))) END AS dev FROM r)
+"""
