@@ -45,7 +45,7 @@ def bearing(dx: Column, dy: Column) -> Column:
 
 def compass(b: Column) -> Column:
     names = F.array(*(F.lit(x) for x in ("N", "NE", "E", "SE", "S", "SW", "W", "NW")))
-    return F.element_at(names, (F.pmod(F.rint(b / 45), F.lit(8)) + 1).cast("int"))
+    return F.when(b.isNotNull(), F.element_at(names, (F.pmod(F.rint(b / 45), F.lit(8)) + 1).cast("int")))
 
 
 def mean_bearing(b: Column) -> Column:

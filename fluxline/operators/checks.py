@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..spec import SurveySpec
 from . import runs as R
-from .survey import BY_LINE, axes, with_segments, with_steps
+from .survey import axes, by_line, with_segments, with_steps
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ def metric(df: DataFrame, label: str, value: Column, threshold: float, note: Col
 def sample_interval(survey: DataFrame, spec: SurveySpec) -> CheckResult:
     """A flag for every gap of more than max_gap seconds, from the sample before to the one after."""
     df = with_steps(survey)
-    ends = {c: F.lag(c).over(BY_LINE) for c in ("i", "fid", "time", "x", "y", "lon", "lat")}
+    ends = {c: F.lag(c).over(by_line()) for c in ("i", "fid", "time", "x", "y", "lon", "lat")}
     gaps = df.withColumns({f"p_{c}": v for c, v in ends.items()}).filter(F.col("dt") > spec.max_gap)
     middle = [((F.col(f"p_{c}") + F.col(c)) / 2).alias(c) for c in ("x", "y", "lon", "lat")]
     flags = gaps.select(
@@ -48,7 +48,7 @@ def sample_interval(survey: DataFrame, spec: SurveySpec) -> CheckResult:
 def along_line_spacing(survey: DataFrame, spec: SurveySpec) -> CheckResult:
     """Runs of steps over the limit, gaps aside; each begins with the sample before its first step."""
     df = with_steps(survey)
-    before = {c: F.lag(F.struct("i", "fid", "time", "x", "y", "lon", "lat")).over(BY_LINE) for c in ("__before",)}
+    before = {c: F.lag(F.struct("i", "fid", "time", "x", "y", "lon", "lat")).over(by_line()) for c in ("__before",)}
     df = df.withColumns(before)
     ok = G.finite(F.col("step")) & (F.col("dt") <= spec.max_gap)
     limit = float(spec.max_along_line_sep)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 
-BY_LINE = Window.partitionBy("line").orderBy("seq")
+def by_line():
+    return Window.partitionBy("line").orderBy("seq")
 
 
 def as_survey(df: DataFrame, origin: tuple[float, float] | None = None) -> DataFrame:
@@ -51,15 +52,15 @@ def as_survey(df: DataFrame, origin: tuple[float, float] | None = None) -> DataF
 def with_steps(survey: DataFrame) -> DataFrame:
     """Adds dt, step (null on a line's first sample) and along, the distance from the line's start."""
     df = survey.withColumns(
-        {"dt": G.seconds(F.col("time")) - F.lag(G.seconds(F.col("time"))).over(BY_LINE), "step": F.hypot(F.col("x") - F.lag("x").over(BY_LINE), F.col("y") - F.lag("y").over(BY_LINE))}
+        {"dt": G.seconds(F.col("time")) - F.lag(G.seconds(F.col("time"))).over(by_line()), "step": F.hypot(F.col("x") - F.lag("x").over(by_line()), F.col("y") - F.lag("y").over(by_line()))}
     )
-    return df.withColumn("along", F.sum(F.coalesce("step", F.lit(0.0))).over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("along", F.sum(F.coalesce("step", F.lit(0.0))).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def with_segments(survey: DataFrame, max_gap: float) -> DataFrame:
     """Adds seg, which counts the gaps over max_gap seconds before a sample in its line, and pos, the place within the segment."""
     df = with_steps(survey) if "dt" not in survey.columns else survey
-    df = df.withColumn("seg", F.sum(F.when(F.col("dt") > max_gap, 1).otherwise(0)).over(BY_LINE.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("seg", F.sum(F.when(F.col("dt") > max_gap, 1).otherwise(0)).over(by_line().rowsBetween(Window.unboundedPreceding, 0)))
     return df.withColumn("pos", F.row_number().over(Window.partitionBy("line", "seg").orderBy("seq")))
 
 

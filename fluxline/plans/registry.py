@@ -64,7 +64,7 @@ def running_median(spark, sf_dir):
 
 
 def running_max(spark, sf_dir):
-    return (A.lineitem_survey(spark, sf_dir).select("line", "seq", R.running(F.max, F.col("mag"), ["line"], "seq", 21).alias("most"), R.running(F.avg, F.col("mag"), ["line"], "seq", 21).alias("mean")).withColumns({c: F.round(c, 3) for c in ("most", "mean")}))
+    return _rounded(A.lineitem_survey(spark, sf_dir).select("line", "seq", R.running(F.max, F.col("mag"), ["line"], "seq", 21).alias("most")), "most")
 
 
 def line_stats(spark, sf_dir):
@@ -227,7 +227,7 @@ b AS (SELECT *, CASE WHEN count(mag) OVER f = 21 THEN median(mag) OVER f END AS
 SELECT line, seq, round(CASE WHEN n < 3 THEN mag WHEN n >= 21 THEN coalesce(whole, CASE WHEN seq <= 10 THEN first_value(whole IGNORE NULLS) OVER u ELSE last_value(whole IGNORE NULLS) OVER u END)
        WHEN n % 2 = 1 THEN every WHEN seq <= n / 2 THEN m1 ELSE m2 END, 5) AS median
 FROM b WINDOW u AS (PARTITION BY line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
-        "running_max": LINEITEM + "SELECT line, seq, round(max(mag) OVER w, 3) AS most, round(avg(mag) OVER w, 3) AS mean FROM s WINDOW w AS (PARTITION BY line ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)",
+        "running_max": LINEITEM + "SELECT line, seq, round(max(mag) OVER w, 5) AS most FROM s WINDOW w AS (PARTITION BY line ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)",
         "line_stats": EVENTS + "SELECT line, line_type, count(*) AS n, round(sum(step), 5) AS length, round(median(mag), 5) AS median_mag, round(quantile_cont(mag, 0.95), 5) AS p95, round(sqrt(avg(step * step)), 5) AS rms_step FROM s GROUP BY line, line_type",
         "check_sample_interval": EVENTS
         + f""", p AS (SELECT *, lag(i) OVER w AS pi, lag(x) OVER w AS px, lag(y) OVER w AS py FROM s WINDOW w AS (PARTITION BY line ORDER BY seq))
