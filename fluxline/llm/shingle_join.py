@@ -362,11 +362,17 @@ def _held(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return C.cut(pairs.mapInArrow(_verify, "a long, b long"))
 
 
+def _named(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
+    """df with the component of a column of points."""
+    own = roots.select(F.col("node").alias(column), F.col("root").alias("__root"))
+    return df.join(own, column, "left").withColumn(out, F.coalesce("__root", column)).drop("__root")
+
+
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members (cell, h) of cells that hold more than one component, with comp."""
-    own = members.drop("comp").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("root", "h")).drop("root")
+    own = _named(members.select("cell", "h"), roots, "h", "comp")
     several = own.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell")
-    return C.cut(own.join(several, "cell").distinct())
+    return C.cut(own.join(several, "cell"))
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -382,11 +388,15 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     bodies = docs.mapInArrow(_bodies, "doc_id long, body binary").join(wanted, "doc_id")  # texts travel compressed
     bodies = C.cut(bodies.groupBy("h").agg(F.first("body").alias("body")))
     # a point meets the leader that it shares the most cells with
-    pairs = members.filter("h <> leader").groupBy("h", "leader").count().groupBy("h").agg(F.max_by("leader", F.struct("count", "leader")).alias("cell"))
-    pairs = C.cut(pairs)
+    met = C.cut(members.filter("h <> leader").groupBy("h", "leader").count())
+    pairs = C.cut(met.groupBy("h").agg(F.max_by("leader", F.struct("count", "leader")).alias("cell")))
     led = pairs.select("cell").distinct().select("cell", F.col("cell").alias("h"), F.col("cell").alias("comp"))
     edges = _held(tree_join(pairs.select("cell", "h", F.col("h").alias("comp")), led, points), bodies)
-    rest = _mixed(members.select("cell", "h"), components(edges))
+    # a cell holds several components if a point's differs from its leader's
+    roots = components(edges)
+    odd = _named(_named(met, roots, "h", "own"), roots, "leader", "its").filter("own <> its").select("h", "leader")
+    mixed = members.join(odd, ["h", "leader"], "left_semi").select("cell").distinct()
+    rest = C.cut(_named(members.join(mixed, "cell", "left_semi").select("cell", "h").distinct(), roots, "h", "comp"))
     for nearest in (True, False):
         sizes = rest.groupBy("cell", "comp").count().groupBy("cell").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
         queries = rest.join(sizes, "cell").filter("comp <> main").select("cell", "h", "comp")
