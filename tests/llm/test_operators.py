@@ -79,3 +79,17 @@ def test_pieces_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
     got = sentencepiece.decode(sentencepiece.encode(df, pieces), pieces)
     assert {r.doc_id: r.decoded for r in got.collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_lines_with_one_changed_word_meet(spark):
+    rng, lengths = random.Random(2), [5, 8, 10, 15, 20, 36]
+    rows = []
+    for i in range(24 * len(lengths)):
+        words = [f"{rng.randrange(16**5):05x}" for _ in range(lengths[i // 24])]
+        other = [*words]
+        other[rng.randrange(len(words))] = f"{rng.randrange(16**5):05x}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = [r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_cut > 0").collect()]
+    assert {i % 2 for i in got} == {1}
+    found = [sum(i // 48 == k for i in got) for k in range(len(lengths))]
+    assert found[0] >= 22 and found[1:] == [24] * 5  # of five words, one in fifty has more than NEAR_BITS different bits
