@@ -93,3 +93,14 @@ def test_lines_with_one_changed_word_meet(spark):
     assert {i % 2 for i in got} == {1}
     found = [sum(i // 48 == k for i in got) for k in range(len(lengths))]
     assert found[0] >= 22 and found[1:] == [24] * 5  # of five words, one in fifty has more than NEAR_BITS different bits
+
+
+def test_lines_of_a_drifting_family_are_cut_to_one(spark):
+    rng = random.Random(4)
+    rows, words = [], [f"{rng.randrange(16**5):05x}" for _ in range(40)]
+    for i in range(24):  # each is near its neighbours only, so that the family is a chain
+        rows.append((i, " ".join(words)))
+        for _ in range(3):
+            words[rng.randrange(40)] = f"{rng.randrange(16**5):05x}"
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_cut = 0").collect()
+    assert [r.doc_id for r in got] == [0]
