@@ -7,7 +7,7 @@ keeps what can still reach 4/9 of both sizes (which is what 0.8 means) and verif
 
 One tree for all points would be neither distributed nor selective: with this many dimensions every box overlaps every other. So the tree's root is a
 set of exact cells. Two sets within 0.8 differ in (|A| + |B|) / 9 shingles at most; dealt into one group more than that, they agree wholly in
-one group (pigeonhole). A cell is one group's content; sets of one size band and the next are dealt alike, so a link's two ends always meet in
+one group (pigeonhole). A cell is one group's content, of small sets that leave groups empty also an empty group; sets of one size band and the next are dealt alike, so a link's two ends always meet in
 a cell. Cells are found by packs of documents: a pack sends each bucket of cells the cells that it has, once each with its least and greatest
 point, and is told which of them are crowded. A cell of a third of all points is thus one entry a pack.
 
@@ -34,6 +34,8 @@ from .components import components
 WORDS, GROUPS, PACK, STRETCH = 5, 128, 16 << 20, 1 << 20
 #: Cells' keys a bucket, points of a block of a crowded cell, rows of a joining task, and children of a tree node.
 KEYS, BLOCK, ROWS, FANOUT = 1_500_000, 4096, 20_000, 8
+#: Of so many groups d!/d**d, about 2**-65, is the most likely that d shingles that differ fall into all groups that a set has, one in each.
+SMALL = 48
 #: A count of this or more: it bounds nothing.
 FULL = (1 << 16) - 1
 _U = np.uint64
@@ -120,12 +122,19 @@ def bands(most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cells(s: np.ndarray, first: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Keys of a set's cells: the content of each of its groups, as its own band and as the band below deals them."""
+    """Keys of a set's cells: the content of each of its groups, as its own band and as the band below deals them.
+
+    A link's sets differ in a quarter of either at most. A set that has shingles in more groups agrees in one of these; one that has not also lists
+    its empty groups, since those may be all that agree.
+    """
     out, band = [], int(np.searchsorted(first, len(s), "right")) - 1
     for b in range(max(0, band - 1), band + 1):
         group = ((s >> _U(32)) * _U(groups[b])) >> _U(32)
         at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         out.append(_mix(np.add.reduceat(_mix(s), at) + group[at] * _ODD[6] + np.array([b], np.uint64) * _ODD[7]))
+        if groups[b] <= SMALL and 4 * len(at) <= len(s):
+            empty = np.setdiff1d(np.arange(groups[b], dtype=np.uint64), group[at])
+            out.append(_mix(empty * _ODD[6] + np.array([b], np.uint64) * _ODD[7]))
     return np.concatenate(out)
 
 
