@@ -7,7 +7,8 @@ fingerprint by the paragraphs that came or went without a look at the rest.
 The vector has two parts. ``DENSE`` coordinates modulo 2**60, one hash seed each, decide equality. ``LEVELS * LANES`` sparse coordinates
 modulo 2**16 serve likeness: a paragraph is cut into runs of four words, a run adds its value to one lane of level 0, and to one of level k if
 the low 2k bits of its hash are zero. Runs that two texts share leave the same sums, so the share of equal lanes among those in use estimates
-how much two texts have in common; long texts are read off sparser levels.
+how much two texts have in common; long texts are read off sparser levels. A text has 2**31 bytes at most, so 2**28 runs; of two such texts about two
+runs are left on the last level, which therefore never fills up.
 
 Null text counts as empty; an empty text has the all-zero fingerprint. xxhash64 is no cryptographic hash: equality holds against accidents,
 not against an adversary.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DENSE, LEVELS, LANES = 4, 5, 32
+DENSE, LEVELS, LANES = 4, 15, 32
 DENSE_MASK, CELL_MASK = (1 << 60) - 1, 0xFFFF
 #: A level with more lanes in use than this is too full to compare.
 FULL = 22
@@ -59,11 +60,14 @@ def vector(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(pars, F.filter(F.split(t, "\n"), lambda p: p.rlike(C.WORD)))
     df = df.withColumn(hs, F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda r: F.xxhash64(_long(77), r)))
     packed = [f"__{out}_{k}" for k in range(LEVELS)]
-    df = df.withColumns({name: F.transform(F.filter(F.col(hs), _at_level(k)), _pack) for k, name in enumerate(packed)})
+    kept = [f"__{out}_hs{k}" for k in range(LEVELS)]
+    for k in range(LEVELS):  # each level is taken from the one before
+        df = df.withColumn(kept[k], F.filter(F.col(kept[k - 1]), _at_level(k)) if k else F.col(hs))
+    df = df.withColumns({name: F.transform(F.col(hs_k), _pack) for name, hs_k in zip(packed, kept)})
     # the second use of each level's array (its size) keeps the optimizer from moving the array's making into the loop over lanes
     cells = F.flatten(F.array(*(F.when(F.size(name) > 0, _lanes(name)).otherwise(F.array_repeat(_long(0), LANES)) for name in packed)))
     dense = [F.aggregate(F.col(pars), _long(0), _dense(s)) for s in range(DENSE)]
-    return df.withColumn(out, F.struct(F.array(*dense).alias("dense"), cells.alias("cells"))).drop(pars, hs, *packed)
+    return df.withColumn(out, F.struct(F.array(*dense).alias("dense"), cells.alias("cells"))).drop(pars, hs, *kept, *packed)
 
 
 def _combined(a: Column, b: Column, sign: int) -> Column:
