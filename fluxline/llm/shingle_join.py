@@ -34,7 +34,8 @@ from .components import components
 WORDS, GROUPS, PACK, STRETCH = 5, 128, 16 << 20, 1 << 20
 #: Cells' keys a bucket, points of a block of a crowded cell, rows of a joining task, and children of a tree node.
 KEYS, BLOCK, ROWS, FANOUT = 1_500_000, 4096, 20_000, 8
-#: Of so many groups d!/d**d, about 2**-65, is the most likely that d shingles that differ fall into all groups that a set has, one in each.
+#: Bands of more groups list no empty ones: that d shingles that differ fall one into each of d groups has the chance d!/d**d, 2**-65 at 48. Sets that
+#: fill somewhat fewer groups than d have a larger one, which is small but not bounded here.
 SMALL = 48
 #: A count of this or more: it bounds nothing.
 FULL = (1 << 16) - 1
@@ -359,10 +360,13 @@ def _verify(batches):
 
 
 def _bodies(batches):
-    zip_ = zstandard.ZstdCompressor(level=3)
+    """Each text by its own point, as ids may repeat with other texts."""
+    shingler, zip_ = Shingler(), zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        bodies = [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+        texts = batch.column("text").to_pylist()
+        h = np.array([_point(s) for s in shingler.sets(texts)], np.uint64).view(np.int64)
+        bodies = [zip_.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(bodies, pa.binary())], ["h", "body"])
 
 
 def _held(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -386,15 +390,14 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Edges (a, b) of points h whose components are those of all links; found: (doc_id, h, n, counts) of docs (doc_id, text), text not null."""
-    points = C.cut(found.filter("n > 0").groupBy("h").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("doc_id").alias("doc_id")))
+    points = C.cut(found.filter("n > 0").groupBy("h").agg(F.min("n").alias("n"), F.min("counts").alias("counts")))
     total, most = points.agg(F.sum("n"), F.max("n")).first()
     bits = max(0, (int(total or 0) // 2 // KEYS).bit_length())
     lists = C.cut(docs.select("text").mapInArrow(_list(bits, int(most or 1)), LISTS))
     crowded = lists.select("bucket", "pack", "points", "keys", "low", "high").groupBy("bucket").applyInArrow(_crowded, "bucket int, pack long, at binary, leader binary")
     entries = lists.drop("low", "high").join(crowded, ["bucket", "pack"])
     members = C.cut(entries.mapInArrow(_members, "cell long, h long, leader long"))
-    wanted = members.select("h").distinct().join(points.select("h", "doc_id"), "h")
-    bodies = docs.mapInArrow(_bodies, "doc_id long, body binary").join(wanted, "doc_id")  # texts travel compressed
+    bodies = docs.select("text").mapInArrow(_bodies, "h long, body binary").join(members.select("h").distinct(), "h")  # texts travel compressed
     bodies = C.cut(bodies.groupBy("h").agg(F.first("body").alias("body")))
     # a point meets the leader that it shares the most cells with
     met = C.cut(members.filter("h <> leader").groupBy("h", "leader").count())
