@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fluxline.llm import chat, line_dedup, mixing, sentencepiece, shingle_join
+from fluxline.llm import chat, mixing, sentencepiece, shingle_join
 
 VOCAB = [f"w{i}" for i in range(400)]
 
@@ -56,14 +56,6 @@ def test_chat_round_trip_with_conflicts(spark):
     assert df.agg(F.min("intact")).first()[0]
 
 
-def test_lines_equal_and_near_are_cut_once(spark):
-    base = " ".join(VOCAB[:60])
-    near = base.replace("w30 ", "w399 ")
-    rows = [(1, f"{base}\nan own line of this very document"), (2, f"intro that nobody else has at all\n{base}"), (3, near), (4, None), (5, "short")]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == rows[0][1] and got[2] == "intro that nobody else has at all" and got[4] == "" and got[5] == "short" and got[3] in ("", near)
-
-
 def test_mix_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, "word " * rng.randrange(1, 60), rng.choice(["a", "b", "c"])) for i in range(600)] + [(9001, None, None), (9002, "", "a")]
@@ -79,28 +71,3 @@ def test_pieces_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
     got = sentencepiece.decode(sentencepiece.encode(df, pieces), pieces)
     assert {r.doc_id: r.decoded for r in got.collect()} == {i: t or "" for i, t in enumerate(texts)}
-
-
-def test_lines_with_one_changed_word_meet(spark):
-    rng, lengths = random.Random(2), [5, 8, 10, 15, 20, 36]
-    rows = []
-    for i in range(24 * len(lengths)):
-        words = [f"{rng.randrange(16**5):05x}" for _ in range(lengths[i // 24])]
-        other = [*words]
-        other[rng.randrange(len(words))] = f"{rng.randrange(16**5):05x}"
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
-    got = [r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_cut > 0").collect()]
-    assert {i % 2 for i in got} == {1}
-    found = [sum(i // 48 == k for i in got) for k in range(len(lengths))]
-    assert found[0] >= 22 and found[1:] == [24] * 5  # of five words, one in fifty has more than NEAR_BITS different bits
-
-
-def test_lines_of_a_drifting_family_are_cut_to_one(spark):
-    rng = random.Random(4)
-    rows, words = [], [f"{rng.randrange(16**5):05x}" for _ in range(40)]
-    for i in range(24):  # each is near its neighbours only, so that the family is a chain
-        rows.append((i, " ".join(words)))
-        for _ in range(3):
-            words[rng.randrange(40)] = f"{rng.randrange(16**5):05x}"
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_cut = 0").collect()
-    assert [r.doc_id for r in got] == [0]
