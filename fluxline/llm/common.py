@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where the session names none (tests, local mode)."""
+    """The folder named in spark.checkpoint.dir; a local one only in local mode where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="fluxline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -34,6 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, column: str, function, out: dict[str, str]) -> DataFrame:
+    """df without column, plus the columns out (name: type), which replace any of these names.
+
+    function maps Arrow batches (row, column) to batches (row, *out); row holds all other columns untouched, so no name can clash.
+    """
+    rest = [c for c in df.columns if c != column and c not in out]
+    rows = df.select(F.struct(*(df[f"`{c}`"] for c in rest), F.lit(0).alias("__none")).alias("row"), df[f"`{column}`"].alias(column))
+    got = rows.mapInArrow(function, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in out.items()))
+    return got.select(*(F.col(f"row.`{c}`").alias(c) for c in rest), *out)
+
+
 def crc_bucket(column: str | Column, n: int) -> Column:
     """crc32 of an id's decimal text modulo n; a null id hashes as empty text."""
     col = F.col(column) if isinstance(column, str) else column

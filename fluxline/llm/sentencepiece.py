@@ -3,7 +3,7 @@
 Encoding puts one blank before the text, writes blanks as the marker U+2581 and takes the sequence of pieces with the highest sum of log scores
 that spells it; a character that no piece can begin is written as its UTF-8 bytes, a piece each, at the least score of a piece less ``PENALTY``. Decoding turns pieces into
 bytes, markers into blanks, and drops the blank put in front. A literal U+2581 in a text is always written as bytes, so decoding returns
-every text exactly.
+every text exactly. Other columns pass through; columns named like the results are replaced. An empty table gives an empty one.
 
 Pieces with a marker anywhere but in front would let a piece reach across a blank; the vocabulary is checked to have none (runs of markers
 alone aside). The best sequence of a text is then the best sequences of its segments one after another, a segment being a run of blanks with the
@@ -11,7 +11,7 @@ run of other characters behind it, or a line break, if no piece holds one. A tas
 numpy step moves all of them through the trie by a byte. Texts of any length are encoded whole; long segments take the same steps.
 
 Vocabulary files give pieces and scores. A file of merge ranks (scores 0, -1, -2, ...) has no probabilities; by Zipf's law ``zipf_scores`` gives
-rank k the log probability -log(k + 2), up to a constant. Ties go to the longer last piece. Null text counts as empty and has no pieces.
+rank k the log probability -log(k + 2), up to a constant. A vocabulary whose pieces reach across a blank is refused (ValueError). Ties go to the longer last piece. Null text counts as empty and has no pieces.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,15 +88,19 @@ class Trie:
         size = 2 * len(children) + 1024
         self.base, self.check, self.leaf = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         free = np.ones(size, bool)
-        free[0], place, low, queue = False, {0: 0}, 1, [0]
+        free[0], place, low, lone, queue = False, {0: 0}, 1, 257, [0]
         for node in queue:
             below = np.array(sorted(children[node]))
             if not len(below):
                 continue
             while not free[low]:
                 low += 1
-            at = low  # free slots for the least byte, a stretch at a time, until all bytes fit
-            while True:
+            at, fits = low, ()  # free slots for the least byte, a stretch at a time, until all bytes fit
+            if len(below) == 1:  # any free slot does; beyond the first 256 its base is positive
+                while not free[lone]:
+                    lone += 1
+                fits = (lone,)
+            while not len(fits):
                 slots = at + np.flatnonzero(free[at : at + 2048])
                 slots = slots[slots > below[0]]
                 fits = slots[free[np.minimum(slots[:, None] - below[0] + below, size - 1)].all(axis=1)]
@@ -139,27 +144,31 @@ class Vocabulary:
         self.text = [b" " * (len(s) // 3) + s.lstrip(MARK) if s.startswith(MARK) and not s.replace(MARK, b"") else s.replace(MARK, b" ") if not self.is_byte[i] else s for i, s in enumerate(self.spelling)]
         self.segment = re.compile(r" *[^ \n]+|\n| +" if not any("\n" in p for p, _, t in pieces if t in (1, 4)) else r" *[^ ]+| +")
 
-    def spelled(self, segment: str) -> bytes:
+    def spelled(self, segments: list[str]) -> list[bytes]:
         """Markers for blanks; a literal marker becomes a byte that no text has, which no piece begins, and is written as its bytes later."""
-        return segment.replace("▁", "\ud800").replace(" ", "▁").encode("utf-8", "surrogatepass")
-
-    def encode(self, segments: list[str]) -> list[np.ndarray]:
-        """Ids of each segment, all segments a byte further with every step."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(segments)
-        spelled = [self.spelled(s) for s in segments]
-        order = sorted(range(len(segments)), key=lambda i: len(spelled[i]))
-        at = 0
+        if not segments:
+            return []
+        return "\ud801".join(segments).replace("▁", "\ud800").replace(" ", "▁").encode("utf-8", "surrogatepass").split(b"\xed\xa0\x81")
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count) of the segments, all of them a byte further with every step."""
+        spelled = self.spelled(segments)
+        size = np.array([len(s) for s in spelled], np.int64)
+        order = np.argsort(size, kind="stable")  # like lengths together
+        at, ids, counts = 0, [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         while at < len(order):
-            wave, room = [], 0
-            while at < len(order) and (not wave or room + len(spelled[order[at]]) <= WAVE):  # like lengths together
-                wave.append(order[at])
-                room += len(spelled[order[at]])
-                at += 1
-            for i, ids in zip(wave, self._wave([spelled[i] for i in wave])):
-                out[i] = ids
-        return out
-
-    def _wave(self, spelled: list[bytes]) -> list[np.ndarray]:
+            end = at + max(1, int(np.searchsorted(np.cumsum(size[order[at : at + WAVE]]), WAVE, "right")))
+            got, n = self._wave([spelled[i] for i in order[at:end].tolist()])
+            ids.append(got)
+            counts.append(n)
+            at = end
+        count, first = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        count[order] = np.concatenate(counts)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(ids), first, count
+
+    def _wave(self, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each segment has."""
         size = np.array([len(s) for s in spelled])
         data = np.frombuffer(b"".join(spelled), np.uint8)
         start = np.cumsum(size) - size
@@ -222,7 +231,7 @@ class Vocabulary:
             ids, pos = by_piece[pos], back[pos]
             step += 1
         if not steps:
-            return [np.zeros(0, np.int32)] * len(spelled)
+            return np.zeros(0, np.int32), np.zeros(len(spelled), np.int64)
         who, rank, ids, pos, end = (np.concatenate([s[i] for s in steps]) for i in range(5))
         by = np.lexsort((-rank, who))
         who, ids, pos, end = who[by], ids[by], pos[by], end[by]
@@ -238,59 +247,111 @@ class Vocabulary:
             stand = (lead == 0xED) & (nxt == 0xA0)
             marker = np.frombuffer(MARK, np.uint8)[np.minimum(inside[loose], 2)]
             whole[loose] = self.byte_ids[np.where(stand, marker, source)]
-        counts = np.bincount(who, out_len, len(spelled)).astype(int)
-        return np.split(whole.astype(np.int32), np.cumsum(counts)[:-1])
-
-    def decode(self, ids) -> str:
-        return b"".join(map(self.text.__getitem__, ids)).decode()[1:]
-
-
-def _encode(vocabulary, keep: list[str]):
+        return whole.astype(np.int32), np.bincount(who, out_len, len(spelled)).astype(np.int64)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of rows of ids that end at ends (the first is 0): the bytes of every piece, found by place, without each row's first blank."""
+        if not hasattr(self, "joined"):
+            self.joined = np.frombuffer(b"".join(self.text), np.uint8)
+            self.width = np.array([len(t) for t in self.text], np.int64)
+            self.start = np.cumsum(self.width) - self.width
+        width = self.width[ids]
+        bytes_end = np.concatenate([[0], np.cumsum(width)])
+        data = self.joined[np.repeat(self.start[ids] - bytes_end[:-1], width) + np.arange(bytes_end[-1])]
+        row_end = bytes_end[ends]
+        keep = np.ones(len(data), bool)
+        keep[row_end[:-1][row_end[1:] > row_end[:-1]]] = False
+        offsets = row_end - np.concatenate([[0], np.cumsum(row_end[1:] > row_end[:-1])])
+        out = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[keep]))
+        out.validate(full=True)
+        return out.cast(pa.string())
+
+
+class Encoder:
+    """Encodes texts, each distinct segment once; what it knows is dropped when there is too much of it."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self.forget()
+
+    def forget(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of the texts; ends begins with 0."""
+        if len(self.place) > CACHE:
+            self.forget()
+        pieces = [self.v.segment.findall(" " + t) if t else [] for t in texts]
+        flat = [s for p in pieces for s in p]
+        new = list({s for s in flat if s not in self.place})
+        if new:
+            ids, first, count = self.v.encode(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.first, self.count, self.ids = np.append(self.first, first + len(self.ids)), np.append(self.count, count), np.append(self.ids, ids)
+        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        n = self.count[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.first[at] - before[:-1], n) + np.arange(before[-1])]
+        return ids, before[np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)])]
+
+
+def _slices(batches):
+    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+
+
+def _ids(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+
+
+def _encode(vocabulary):
     def encode(batches):
-        v = vocabulary.value
-        cache: dict[str, int] = {}
-        known: list[np.ndarray] = []
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            if len(cache) > CACHE:
-                cache, known = {}, []
-            pieces = [v.segment.findall(" " + t) if t else [] for t in batch.column("text").to_pylist()]
-            new = list({s for p in pieces for s in p if s not in cache})
-            for s, ids in zip(new, v.encode(new)):
-                cache[s] = len(known)
-                known.append(ids)
-            ids = [np.concatenate([known[cache[s]] for s in p]) if p else np.zeros(0, np.int32) for p in pieces]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column], [*keep, "ids"])
+        encoder = Encoder(vocabulary.value)
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _ids(*encoder(batch.column("text").to_pylist()))], ["row", "ids"])
 
     return encode
 
 
-def _decode(vocabulary, keep: list[str]):
+def _decode(vocabulary):
     def decode(batches):
-        v = vocabulary.value
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            texts = [v.decode(ids) if ids else "" for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, "string")], [*keep, "decoded"])
+        for batch in _slices(batches):
+            ids = batch.column("ids").fill_null([])
+            ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), vocabulary.value.decode(ids.flatten().to_numpy(zero_copy_only=False), ends)], ["row", "decoded"])
 
     return decode
 
 
-def _columns(df: DataFrame, without: str) -> tuple[list[str], str]:
-    kept = [f for f in df.schema if f.name != without]
-    return [f.name for f in kept], "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+def _there_and_back(vocabulary):
+    def there_and_back(batches):
+        encoder = Encoder(vocabulary.value)
+        for batch in _slices(batches):
+            ids, ends = encoder(batch.column("text").to_pylist())
+            same = pc.equal(vocabulary.value.decode(ids, ends), pc.fill_null(batch.column("text"), ""))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _ids(ids, ends), same], ["row", "ids", "roundtrip"])
+
+    return there_and_back
+
+
+def _mapped(df: DataFrame, column: str, made, pieces, out: dict[str, str]) -> DataFrame:
+    """The vocabulary is built once and broadcast."""
+    return C.mapped(df, column, made(df.sparkSession.sparkContext.broadcast(Vocabulary(pieces))), out)
 
 
 def encode(docs: DataFrame, pieces: list[tuple[str, float, int]]) -> DataFrame:
-    """docs with ids array<int> in place of text. The vocabulary is built once and broadcast."""
-    names, schema = _columns(docs, "text")
-    return docs.mapInArrow(_encode(docs.sparkSession.sparkContext.broadcast(Vocabulary(pieces)), names), f"{schema}ids array<int>")
+    """docs with ids array<int> in place of text."""
+    return _mapped(docs, "text", _encode, pieces, {"ids": "array<int>"})
 
 
 def decode(encoded: DataFrame, pieces: list[tuple[str, float, int]]) -> DataFrame:
-    """encoded plus decoded string."""
-    names, schema = _columns(encoded, "")
-    return encoded.mapInArrow(_decode(encoded.sparkSession.sparkContext.broadcast(Vocabulary(pieces)), names), f"{schema}decoded string")
+    """encoded plus decoded string; null ids give an empty text."""
+    return _mapped(encoded.withColumn("__ids", F.col("ids")), "ids", _decode, pieces, {"decoded": "string"}).withColumnRenamed("__ids", "ids")
+
+
+def round_trip(docs: DataFrame, pieces: list[tuple[str, float, int]]) -> DataFrame:
+    """docs with ids array<int> in place of text, and roundtrip: whether the decoded ids are the text (null: empty) again. One pass of a task does both."""
+    return _mapped(docs, "text", _there_and_back, pieces, {"ids": "array<int>", "roundtrip": "boolean"})
 
 
 def load_pieces(path: str = "/opt/tokenizers/piece_bpe_32k.model") -> list[tuple[str, float, int]]:
@@ -301,7 +362,6 @@ def load_pieces(path: str = "/opt/tokenizers/piece_bpe_32k.model") -> list[tuple
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents, encoded; roundtrip says whether decoding gave it back."""
-    pieces, docs = load_pieces(), C.table(spark, sf_dir, "documents")
-    text = C.text_of(docs)
-    coded = decode(encode(docs.select("doc_id", F.sha2(text, 256).alias("sha"), text.alias("text")), pieces), pieces)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("roundtrip"))
+    docs = C.table(spark, sf_dir, "documents")
+    coded = round_trip(docs.select("doc_id", C.text_of(docs).alias("text")), load_pieces())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "roundtrip")
