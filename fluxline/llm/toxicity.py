@@ -2,12 +2,14 @@
 
 A text's features are the distinct hashed n-grams (``ORDERS`` code points, lower case, a blank at both ends) that it holds. From a training
 sample, the log-count ratio r of a feature compares the shares of toxic and other texts that hold it; the features that tell the classes
-apart (G statistic at least ``LEAST_G``, the best ``KEPT`` of them) go on, each with the value r where present, and a logistic regression weighs them. A text of any length is
-scored whole.
+apart (G statistic at least ``LEAST_G``) go on, each with the value r where present, and a logistic regression weighs them. A text of any length is
+scored whole. ``KEPT`` bounds the model: of more such features the best are taken, so that the fit's rows (``SAMPLE`` texts of at most ``KEPT`` numbers,
+in practice a few hundred) fit the driver, which reads them as one flat array a slice at a time.
 
 The training sample is bounded: at most ``SAMPLE`` labelled rows, those with the least hash of doc_id. Its ids are all that is broadcast
 besides the weights; n-gram counts add up in chunks over tasks. A doc_id labelled twice counts as toxic if any label says so; null labels are
 no labels. Null text counts as empty; an empty text scores what the intercept says. Without labels every score is 1/3.
+Repeated rows score alike, an empty table gives an empty one, and columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-ORDERS, BITS, CHUNK, KEPT, SAMPLE = (3, 4, 5, 6), 20, 1 << 14, 8192, 20_000
+ORDERS, BITS, CHUNK, KEPT, SAMPLE, SLICE = (3, 4, 5, 6), 20, 1 << 14, 8192, 20_000, 1000
 STEPS, RATE, RIDGE = 120, 0.03, 3e-3
 #: Features under this G statistic are noise (8 is p = 0.005 for one feature).
 LEAST_G = 8.0
@@ -69,18 +71,27 @@ def _present(kept: np.ndarray):
     return present
 
 
-def _fit(found: list[np.ndarray], toxic: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam steps over the whole sample; returns weights (times r) and intercept."""
-    size = np.array([len(f) for f in found])
+def _fit(col: np.ndarray, ends: np.ndarray, toxic: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam steps over the whole sample, read a slice of texts at a time; returns weights (times r) and intercept.
+
+    col: the features of all texts one after another, those of text i from ends[i] to ends[i + 1].
+    """
+    n = len(ends) - 1
     share = np.where(toxic > 0, np.sqrt((toxic == 0).sum() / max(1, (toxic > 0).sum())), 1.0)  # halfway to balanced classes
     share /= share.sum()
-    row, col = np.repeat(np.arange(len(found)), size), np.concatenate(found)
-    value, w = r[col], np.zeros(len(r) + 1)
+    w = np.zeros(len(r) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, value * w[col], minlength=len(found)) + w[-1]
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * share
-        grad = np.append(np.bincount(col, value * g[row], minlength=len(r)) + RIDGE * w[:-1], g.sum())
+        weight, grad, last = r * w[:-1], np.zeros(len(r)), 0.0
+        for lo in range(0, n, SLICE):
+            hi = min(n, lo + SLICE)
+            own, size = col[ends[lo] : ends[hi]], np.diff(ends[lo : hi + 1])
+            total = np.concatenate([[0.0], np.cumsum(weight[own])])
+            z = total[ends[lo + 1 : hi + 1] - ends[lo]] - total[ends[lo:hi] - ends[lo]] + w[-1]
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[lo:hi]) * share[lo:hi]
+            grad += np.bincount(own, np.repeat(g, size), minlength=len(r))
+            last += g.sum()
+        grad = np.append(grad * r + RIDGE * w[:-1], last)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w[:-1] * r, float(w[-1])
@@ -112,8 +123,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if not len(kept):
         return weights, float(np.log((n[1] + 0.5) / (n[0] + 1)))
     got = rows.mapInArrow(_present(kept), "toxic int, found array<int>").toArrow()  # at most SAMPLE rows of KEPT features
-    found = [f.as_py() for f in got["found"]]
-    w, intercept = _fit([np.array(f, np.int32) for f in found], got["toxic"].to_numpy().astype(float), r[kept])
+    toxic, found = got["toxic"].to_numpy().astype(float), got["found"].chunks
+    ends = np.cumsum(np.concatenate([[0], *(c.value_lengths().to_numpy(zero_copy_only=False) for c in found)]))
+    col = np.concatenate([c.flatten().to_numpy() for c in found])
+    del got, found
+    w, intercept = _fit(col, ends.astype(np.int64), toxic, r[kept])
     weights[kept] = w
     return weights, intercept
 
@@ -127,16 +141,14 @@ def _score(model):
                 f = ngrams(text.as_py())
                 scores[i] = weights[np.unique(f[weights[f] != 0])].sum(dtype=float) + intercept
             scores = 1 / (1 + np.exp(-np.clip(scores, -500, 500)))
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
 
     return score
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """docs without text, plus score and predicted. The weights broadcast are 4 MB whatever was learnt from."""
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"{kept}score double, predicted int")
+    return C.mapped(docs, "text", _score(docs.sparkSession.sparkContext.broadcast(model)), {"score": "double", "predicted": "int"})
 
 
 def _clean(model):
