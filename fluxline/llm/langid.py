@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-Each language gets a raw-content zstandard dictionary: whole training texts in the order of a hash, joined up to ``DICTIONARY`` bytes. A text is
+Each language gets a raw-content zstandard dictionary: training texts (of long ones four pieces from all over the text, a quarter of the dictionary
+together) in the order of a hash, joined up to ``DICTIONARY`` bytes. That is the bound of the fit; the texts that are predicted are read whole. A text is
 compressed once per dictionary and belongs to the language whose dictionary leaves the fewest bytes; score is the margin, the share of bytes
 that it saves over the second best. ``rejected`` marks margins under ``MARGIN``; the prediction stands beside it, so that a caller who needs a
 language for every text has one. Equal sizes (very short texts) go to the language whose dictionary holds the text's words more often, then to
@@ -9,14 +10,14 @@ that with more training documents, then to the smaller name.
 The dictionaries are the only bounded sample: ``SLOTS`` texts a language at most, whichever have the least hash in each of as many hash classes,
 so the training set's size and order do not matter. Texts compare by their letters: lower case, and a blank
 for any run of other characters. A text that is null or has no letter is ``und`` with score 0;
-if no training row has a language, every text is.
+if no training row has a language, every text is. Repeated rows get the same answer, an empty table gives an empty one, and columns named like the results
+are replaced.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SLOTS, DICTIONARY, LEVEL, MARGIN = 96, 112 * 1024, 6, 0.01
-NO_LETTERS = re.compile(r"[\W\d_]+")
+NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> str:
-    """Lower case, every run of anything but letters as one blank."""
-    return NO_LETTERS.sub(" ", text.lower()).strip()
+    """Lower case, every run of anything but letters (Unicode class L) and their marks as one blank; empty without a letter."""
+    return NO_LETTERS.sub(" ", text.lower()).strip() if LETTER.search(text) else ""
 
 
 def train(docs: DataFrame) -> list[tuple[str, bytes]]:
@@ -41,7 +43,10 @@ def train(docs: DataFrame) -> list[tuple[str, bytes]]:
     for r in chosen:
         n[r["lang"]] = n.get(r["lang"], 0) + r["n"]
     texts = rows.filter(F.col("h").isin([r["h"] for r in chosen])).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    texts = texts.select("lang", F.struct("h", F.substring("text", 1, DICTIONARY // 4).alias("text")).alias("one"))
+    # of a text longer than a quarter of the dictionary, four pieces spread over all of it
+    piece, size = DICTIONARY // 16, F.length("text")
+    spread = F.concat_ws(" ", *(F.substring("text", (F.floor((size - piece) * i / 3) + 1).cast("int"), F.lit(piece)) for i in range(4)))
+    texts = texts.select("lang", F.struct("h", F.when(size > 4 * piece, spread).otherwise(F.col("text")).alias("text")).alias("one"))
     langs = texts.groupBy("lang").agg(F.array_sort(F.collect_list("one")).alias("texts")).select("lang", F.substring(F.array_join("texts.text", "\n"), 1, DICTIONARY).alias("content")).collect()
     return [(r["lang"], letters(r["content"]).encode()[:DICTIONARY]) for r in sorted(langs, key=lambda r: (-n[r["lang"]], r["lang"]))]
 
@@ -71,17 +76,14 @@ def _classify(model: list[tuple[str, bytes]], margin: float):
                 langs.append(best)
                 scores.append(score)
                 rejected.append(score < margin)
-            rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, "string"), pa.array(scores, "double"), pa.array(rejected, "bool")], [*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, "string"), pa.array(scores, "double"), pa.array(rejected, "bool")], ["row", "lang_pred", "score", "rejected"])
 
     return classify
 
 
 def predict(docs: DataFrame, model: list[tuple[str, bytes]], margin: float = MARGIN) -> DataFrame:
     """docs without text, plus lang_pred, score, rejected."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_classify(model, margin), f"{kept}{', ' * bool(kept)}lang_pred string, score double, rejected boolean")
+    return C.mapped(docs, "text", _classify(model, margin), {"lang_pred": "string", "score": "double", "rejected": "boolean"})
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
