@@ -33,7 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["cut_path"] = path
+    return out
+
+
+def free(*cuts: DataFrame) -> None:
+    """Empty the files of frames that cut returned, once nothing reads them any more."""
+    for df in cuts:
+        df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(df.__dict__["cut_path"])
 
 
 def mapped(df: DataFrame, column: str, function, out: dict[str, str]) -> DataFrame:
