@@ -394,11 +394,12 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     total, most = points.agg(F.sum("n"), F.max("n")).first()
     bits = max(0, (int(total or 0) // 2 // KEYS).bit_length())
     lists = C.cut(docs.select("text").mapInArrow(_list(bits, int(most or 1)), LISTS))
-    crowded = lists.select("bucket", "pack", "points", "keys", "low", "high").groupBy("bucket").applyInArrow(_crowded, "bucket int, pack long, at binary, leader binary")
+    crowded = C.cut(lists.select("bucket", "pack", "points", "keys", "low", "high").groupBy("bucket").applyInArrow(_crowded, "bucket int, pack long, at binary, leader binary"))
     entries = lists.drop("low", "high").join(crowded, ["bucket", "pack"])
     members = C.cut(entries.mapInArrow(_members, "cell long, h long, leader long"))
     bodies = docs.select("text").mapInArrow(_bodies, "h long, body binary").join(members.select("h").distinct(), "h")  # texts travel compressed
     bodies = C.cut(bodies.groupBy("h").agg(F.first("body").alias("body")))
+    C.free(lists)
     # a point meets the leader that it shares the most cells with
     met = C.cut(members.filter("h <> leader").groupBy("h", "leader").count())
     pairs = C.cut(met.groupBy("h").agg(F.max_by("leader", F.struct("count", "leader")).alias("cell")))
@@ -415,6 +416,7 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
         edges = edges.unionByName(_held(C.cut(tree_join(queries, rest.select("cell", "h", "comp"), points, nearest)), bodies))
         if nearest:
             rest = _mixed(rest, components(edges))
+    C.free(members, met, rest)
     return edges
 
 
