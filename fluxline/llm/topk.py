@@ -1,14 +1,17 @@
 """Exact top-k search by no-random-access aggregation (NRA) over sorted lists.
 
 Queries and candidates are dealt into blocks by a hash of their ids and meet once a pair of blocks, so a task holds one block of each whatever
-the tables' size. Within a pair, every dimension is a list of the candidates sorted by component. A query reads the list of each dimension from
-its end that scores higher, all lists to the same depth. What has been read of a candidate plus, for the rest, the list's far end gives a lower
-bound of its score, and with the last value read an upper bound. Reading goes deeper until all candidates but ``FEW`` times k have an upper
-bound below the k-th best lower bound; of these the final scores are resolved exactly. The best k of each pair of blocks merge by query.
-
-Components become floor(256 * x), so scores are integers: exact in double arithmetic up to 2**53, in 64-bit integers beyond. Ties go to the
+the tables' size. Within a pair, every dimension is a list of the candidates sorted by component. A query reads the list of each dimension in
+sequence from its end that scores higher, all lists to the same depth, a ``STEPS``-th of a list a step. What has been read of a candidate plus, for the rest, the
+list's far end is a lower bound of its score; with the last value read it is an upper bound. The bar of a query is its k-th best lower bound; an
+outsider cannot qualify once its upper bound is under the bar. A query stops reading when ``FEW`` times k candidates at most can qualify;
+of these the final scores are resolved exactly. A query first meets one block, its home; the k-th score there is its least bar in all other blocks.
+The best k of each pair of blocks merge by query. How much of the lists a query reads before it stops is told by ``reads``.
+
+Components become floor(256 * x). Bounds are doubles, widened by more than their rounding; final scores are 64-bit integers. Ties go to the
 smaller vec_id. Vectors that are null, or hold a null, NaN or infinite component, and rows with a null vec_id take no part. Vectors meet those
 of their own length. A query has no own row among its candidates (all rows of that id); a repeated row is a candidate for each time it stands.
+Empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,43 +23,51 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-QUERY_BLOCK, CANDIDATE_BLOCK, FEW = 512, 4096, 8
-DEPTHS = (0.3, 0.5, 0.7)
-FOUND = "query_id long, vec_id long, score long"
+QUERY_BLOCK, CANDIDATE_BLOCK, FEW, STEPS = 512, 4096, 8, 16
+FOUND = "query_id long, vec_id long, score long, share double"
 
 
-def nra(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the positions in x that hold its k best scores, ties to the smaller id, its own id left out; more than k may be named."""
-    n = len(x)
-    largest = max(1, int(np.abs(x).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, x.shape[1])
-    kept: list[np.ndarray] = [np.arange(n)] * len(queries)
-    if largest >= 1 << 52 or n <= FEW * k:
-        return kept
+def nra(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bars: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query the positions in x that can hold its k best scores, ties to the smaller id, its own id left out, and the share of the lists
+    that it read. Scores under a query's bar (NaN: none) need not be named."""
+    n, dims = x.shape
     lists = np.argsort(-x, axis=0, kind="stable")
     rank = np.empty_like(lists)
     np.put_along_axis(rank, lists, np.arange(n)[:, None], axis=0)
     x, queries = x.astype(float), queries.astype(float)
-    top, low = x.max(axis=0), x.min(axis=0)
-    todo = np.arange(len(queries))
-    for share in DEPTHS:
-        depth = min(n - 1, max(k, int(n * share)))
-        up, down = np.maximum(queries[todo], 0), np.minimum(queries[todo], 0)
-        high_seen, low_seen = rank < depth, rank >= n - depth
-        at_high, at_low = x[lists[depth - 1], np.arange(x.shape[1])], x[lists[n - depth], np.arange(x.shape[1])]
-        read = up @ (x * high_seen).T + down @ (x * low_seen).T
-        lower = read + (up * low) @ (~high_seen).T.astype(float) + (down * top) @ (~low_seen).T.astype(float)
-        lower[query_ids[todo][:, None] == ids[None, :]] = -np.inf
-        upper = read
-        upper += (up * at_high) @ (~high_seen).T.astype(float) + (down * at_low) @ (~low_seen).T.astype(float)
-        bar = np.partition(lower, n - k, axis=1)[:, n - k]
-        qualify = upper >= bar[:, None]
-        done = qualify.sum(axis=1) <= FEW * k
-        for row, q in zip(qualify[done], todo[done]):
-            kept[q] = np.flatnonzero(row)
-        todo = todo[~done]
+    slack = 2.0**-48 * (1 + np.abs(queries) @ np.abs(x).max(axis=0))
+    bars = np.full(len(queries), -np.inf) if bars is None else np.where(np.isnan(bars), -np.inf, bars)
+    kept, share = [np.zeros(0, np.int64)] * len(queries), np.ones(len(queries))
+    todo, depth = np.arange(len(queries)), 0
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    worst = up * x.min(axis=0) + down * x.max(axis=0)  # by query and dimension
+    lower = np.repeat(worst.sum(axis=1)[None, :], n, axis=0)  # by candidate and query
+    own = ids[:, None] == query_ids[None, :]
+    while True:
+        # bounds of what was read so far
+        front_high, front_low = (x[lists[depth - 1], np.arange(dims)], x[lists[n - depth], np.arange(dims)]) if depth else (x.max(axis=0), x.min(axis=0))
+        gap = up[todo] * front_high + down[todo] * front_low - worst[todo]
+        upper = lower + (rank >= depth) @ np.where(queries[todo] >= 0, gap, 0).T + (rank < n - depth) @ np.where(queries[todo] < 0, gap, 0).T
+        bar = bars[todo]
+        if n > k:
+            sure = np.where(own[:, todo], -np.inf, lower)
+            bar = np.maximum(bar, np.partition(sure, n - k, axis=0)[n - k])
+        qualify = (upper >= bar - 2 * slack[todo]) & ~own[:, todo]
+        done = (qualify.sum(axis=0) <= FEW * k) | (depth >= n)
+        for at in np.flatnonzero(done):
+            kept[todo[at]], share[todo[at]] = np.flatnonzero(qualify[:, at]), depth / n
+        todo, lower = todo[~done], lower[:, ~done]
         if not len(todo):
-            break
-    return kept  # queries still open have every list read to its end
+            return kept, share
+        # the next step of every list
+        deeper = min(n, depth + max(1, -(-n // STEPS)))
+        for d in range(dims):
+            for side, rows in ((queries[todo, d] >= 0, lists[depth:deeper, d]), (queries[todo, d] < 0, lists[n - deeper : n - depth, d])):
+                if side.all():
+                    lower[rows] += np.outer(x[rows, d], queries[todo, d]) - worst[todo, d]
+                elif side.any():
+                    lower[np.ix_(rows, side)] += np.outer(x[rows, d], queries[todo[side], d]) - worst[todo[side], d]
+        depth = deeper
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -66,19 +77,20 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
 
 def _search(k: int):
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if queries.num_rows and rows.num_rows:
-            q, x = _matrix(queries["v"], queries.num_rows), _matrix(rows["v"], rows.num_rows)
-            q_ids, ids = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
-            for i, at in enumerate(nra(q, q_ids, x, ids, k)):
-                at = at[ids[at] != q_ids[i]]
+            q, x = _matrix(queries["v"], queries.num_rows), _matrix(rows["x_v"], rows.num_rows)
+            q_ids, ids = queries["vec_id"].to_numpy(), rows["x_id"].to_numpy()
+            kept, share = nra(q, q_ids, x, ids, k, queries["bar"].cast(pa.float64()).to_numpy()) if x.shape[1] else ([np.flatnonzero(ids != i) for i in q_ids], np.zeros(len(q)))
+            for i, at in enumerate(kept):
                 score = x[at] @ q[i]
                 best = np.lexsort((ids[at], -score))[:k]
                 out[0].append(np.full(len(best), q_ids[i]))
                 out[1].append(ids[at][best])
                 out[2].append(score[best])
-        cols = [np.concatenate(c).astype("int64") if c else np.array([], "int64") for c in out]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols)))
+                out[3].append(np.full(len(best), share[i]))
+        cols = [np.concatenate(c).astype(t) if c else np.array([], t) for c, t in zip(out, ("int64", "int64", "int64", "float64"))]
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "share"), cols)))
 
     return search
 
@@ -90,16 +102,35 @@ def vectors(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * 256.0)).alias("v"))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) of two frames (vec_id, v)."""
+def found_by_block(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, share): the best k of each query in each block, and the share of the block's lists that the query read."""
     n_q, n_x = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-rows.count() // CANDIDATE_BLOCK))
     dim, own = F.size("v").alias("dim"), lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("vec_id", "v", dim, own(n_q).alias("qb"), all_of(n_x).alias("xb"))
-    x = rows.select("vec_id", "v", dim, own(n_x).alias("xb"), all_of(n_q).alias("qb"))
     pair = ["dim", "qb", "xb"]
-    found = q.groupBy(*pair).cogroup(x.groupBy(*pair)).applyInArrow(_search(k), FOUND)
+    q = queries.select("vec_id", "v", dim, own(n_q).alias("qb"), own(n_x).alias("home"))
+    # both sides may come of one frame: new names of its columns keep them apart
+    x = rows.select(F.col("vec_id").alias("x_id"), F.col("v").alias("x_v"), dim, own(n_x).alias("xb"), all_of(n_q).alias("qb")).groupBy(*pair)
+    meet = lambda some: some.groupBy(*pair).cogroup(x).applyInArrow(_search(k), FOUND)
+    at_home = meet(q.select("vec_id", "v", "dim", "qb", F.col("home").alias("xb"), F.lit(None).cast("long").alias("bar")))
+    if n_x == 1:
+        return at_home
+    at_home = C.cut(at_home)
+    bars = at_home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("bar")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("bar")).alias("bar"))
+    away = q.join(bars, "vec_id", "left").select("vec_id", "v", "dim", "qb", "bar", "home", all_of(n_x).alias("xb")).filter("xb <> home").drop("home")
+    return at_home.unionByName(meet(away))
+
+
+def reads(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
+    """One row: the mean share of the lists that queries read before they stopped, and the share of pairs of query and block that stopped early."""
+    each = found_by_block(queries, rows, k).groupBy("query_id", "share").count()
+    return each.agg(F.avg("share").alias("share"), F.avg((F.col("share") < 1).cast("int")).alias("stopped"))
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score) of two frames (vec_id, v)."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = found_by_block(queries, rows, k)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
