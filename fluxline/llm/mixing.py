@@ -4,8 +4,10 @@ Each source gets a target, and each of its documents the same expected number of
 are certain; the fraction is an inclusion probability that the cube method rounds to 0 or 1 while it holds two totals of the source, documents
 and words. The flight phase walks through the null space of these two constraints (three open documents at a time, so that one of them settles
 with each step) in blocks of about ``BLOCK`` documents of one source; every block leaves two open documents at most. Those of a source's
-blocks meet in blocks of the next level, until one block is left, whose last two documents the landing phase settles with the word total
-given up first. One very long document can leave that landing far off, so the last block flies again with other draws if need be. A hot source is only more blocks; no group ever grows with the data.
+blocks meet in blocks of the next level, until one block is left. A step of three would leave that block's longest documents for last, whose words
+no other could then make up for; so there each step moves the longest open document against all others at once, along the direction in the null space that is
+nearest to p (1 - p) of each, until it or another settles. What is left for the landing is the two shortest documents: they take the joint distribution
+that keeps both probabilities and the words nearest. A hot source is only more blocks; no group ever grows with the data.
 
 Draws are seeded by source, level and block, and documents order by (size, id, text hash), so reruns agree. Sizes are counts of words
 (null text: 0). Documents of size 0 count as documents only. A source of size 0 has target 0. A repeated row shares the fate of its copies.
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WEIGHTS, SHARE, LIMIT, BLOCK = (3, 1, 2), 1.5, 2, 2000
-#: A source's last block flies again, TRIES times at most, until its words are this near the target, and keeps its best flight.
-TRIES, TOLERANCE = 40, 1e-3
 UNIT = "source string, doc_id long, h long, size long, m long, source_size long, target double, base long, blocks long, pi double"
 
 
@@ -61,23 +61,19 @@ def targets(units: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: floa
     return per.select("source", "n", "source_size", target.alias("target"))
 
 
-def flight(size: np.ndarray, weight: np.ndarray, pi: np.ndarray, draws: np.ndarray, land: bool) -> np.ndarray:
-    """Round pi to 0 or 1, holding sum(weight * pi) and sum(weight * size * pi); two stay open unless land, which gives up sizes, then counts."""
+def flight(size: np.ndarray, weight: np.ndarray, pi: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Round pi to 0 or 1, holding sum(weight * pi) and sum(weight * size * pi); two stay open at most."""
     out, todo, window, k = pi.astype(float), [int(i) for i in np.flatnonzero((pi > 0) & (pi < 1))][::-1], [], 0
     a, b = weight.astype(float), (weight * size).astype(float)
     while True:
         while len(window) < 3 and todo:
             window.append(todo.pop())
-        if len(window) < 3 and not (land and window):
+        if len(window) < 3:
             return out
-        i = window[0]
-        if len(window) == 3:
-            j, l = window[1:]
-            u = [a[j] * b[l] - a[l] * b[j], a[l] * b[i] - a[i] * b[l], a[i] * b[j] - a[j] * b[i]]
-            if not any(u):  # the three are alike: any pair of them balances
-                u = [a[j], -a[i], 0.0]
-        else:
-            u = [a[window[1]], -a[i]] if len(window) == 2 else [1.0]
+        i, j, l = window
+        u = [a[j] * b[l] - a[l] * b[j], a[l] * b[i] - a[i] * b[l], a[i] * b[j] - a[j] * b[i]]
+        if not any(u):  # the three are alike: any pair of them balances
+            u = [a[j], -a[i], 0.0]
         up = min((1 - out[x] if v > 0 else out[x]) / abs(v) for x, v in zip(window, u) if v)
         down = min((out[x] if v > 0 else 1 - out[x]) / abs(v) for x, v in zip(window, u) if v)
         step = up if draws[k % len(draws)] * (up + down) < down else -down
@@ -88,20 +84,61 @@ def flight(size: np.ndarray, weight: np.ndarray, pi: np.ndarray, draws: np.ndarr
         window = [x for x in window if 0 < out[x] < 1]
 
 
+def flight_of_longest(words: np.ndarray, count: np.ndarray, pi: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """As flight, for one block: the longest open document moves against all others; both totals are held, and with two others or one, words alone."""
+    out, k = pi.astype(float), 0
+    a, b = count.astype(float), words.astype(float)
+    while True:
+        open_ = np.flatnonzero((out > 0) & (out < 1))
+        if len(open_) < 3:
+            return out
+        i = open_[np.argmax(b[open_])]
+        rest = open_[open_ != i]
+        v = out[rest] * (1 - out[rest])
+        s = [[(v * a[rest] * x).sum() for x in (a[rest], b[rest])], [(v * b[rest] * x).sum() for x in (a[rest], b[rest])]]
+        det = s[0][0] * s[1][1] - s[0][1] * s[1][0]
+        if det > 1e-9 * s[0][0] * s[1][1]:
+            alpha, beta = (-a[i] * s[1][1] + b[i] * s[0][1]) / det, (-b[i] * s[0][0] + a[i] * s[1][0]) / det
+        elif s[1][1] > 0:
+            alpha, beta = 0.0, -b[i] / s[1][1]
+        else:
+            alpha, beta = -a[i] / s[0][0], 0.0
+        at, u = np.append(i, rest), np.append(1.0, v * (alpha * a[rest] + beta * b[rest]))
+        moved = u != 0
+        at, u = at[moved], u[moved]
+        up = (np.where(u > 0, 1 - out[at], out[at]) / np.abs(u)).min()
+        down = (np.where(u > 0, out[at], 1 - out[at]) / np.abs(u)).min()
+        step = up if draws[k % len(draws)] * (up + down) < down else -down
+        y = out[at] + step * u
+        out[at] = np.where(y < 1e-9, 0.0, np.where(y > 1 - 1e-9, 1.0, y))
+        k += 1
+
+
+def landed(words: np.ndarray, pi: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Settle the open ones of pi (two at most) by the joint distribution that keeps both probabilities and the least expected square of words off."""
+    out, open_ = pi.copy(), np.flatnonzero((pi > 0) & (pi < 1))
+    if len(open_) == 1:
+        out[open_] = draws[0] < pi[open_[0]]
+    elif len(open_) == 2:
+        p, q = pi[open_]
+        off = lambda x, y: (words[open_[0]] * (x - p) + words[open_[1]] * (y - q)) ** 2
+        together = off(1, 1) + off(0, 0) < off(1, 0) + off(0, 1)
+        both = min(p, q) if together else max(0.0, p + q - 1)
+        at = int(np.searchsorted(np.cumsum([both, p - both, q - both]), draws[0], "right"))
+        out[open_] = [(1, 1), (1, 0), (0, 1), (0, 0)][at]
+    return out
+
+
 def _fly(level: int):
     def fly(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "doc_id", "h"], ascending=[False, True, True], kind="stable")
-        seed = zlib.crc32(repr((key[0], level, int(key[1]))).encode())
+        draws = np.random.default_rng(zlib.crc32(repr((key[0], level, int(key[1]))).encode())).random(2 * len(block) + 4)
         size, m, pi, land = block["size"].to_numpy(), block["m"].to_numpy(), block["pi"].to_numpy(), bool((block["blocks"] == 1).all())
-        words, near, best, best_off = m * size, TOLERANCE * float(block["target"].max()), None, float("inf")
-        for draws in np.random.default_rng(seed).random((TRIES if land else 1, len(block) + 3)):
-            got = flight(size, m, pi, draws, land)
-            off = abs(float(words @ (got - pi)))
-            if off < best_off:
-                best, best_off = got, off
-            if off <= near:
-                break
-        block["pi"] = best
+        words = m * size
+        if land:
+            block["pi"] = landed(words, flight_of_longest(words, m, pi, draws[:-2]), draws[-2:])
+        else:
+            block["pi"] = flight(size, m, pi, draws)
         return block.drop(columns="block")
 
     return fly
@@ -133,11 +170,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    taken = mix(docs).filter("copies > 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("copies").alias("__copies"))
-    on = docs["source"].eqNullSafe(F.col("__s")) & docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(C.text_of(docs)) == F.col("__h"))
-    joined = docs.join(taken, on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it; columns of any names pass through."""
+    t = C.text_of(docs)
+    key = {"source": docs["source"].cast("string"), "doc_id": docs["doc_id"].cast("long"), "h": F.xxhash64(t)}
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(name) for name, c in key.items()))
+    taken = mix(docs).filter("copies > 0").select(*(F.col(c).alias(f"of_{c}") for c in key), "copies")
+    joined = rows.join(taken, F.col("h") == F.col("of_h")).filter(F.col("source").eqNullSafe(F.col("of_source")) & F.col("doc_id").eqNullSafe(F.col("of_doc_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_mixing_sources(spark, sf_dir: str) -> DataFrame:
