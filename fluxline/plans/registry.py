@@ -12,7 +12,7 @@ from ..operators import runs as R
 from ..operators.survey import with_segments, with_steps
 from ..spec import SurveySpec
 from . import adapters as A
-from . import qc
+from . import gridded, ingest, qc
 
 #: Limits that make the driver's tables pass and fail in parts.
 SPEC = SurveySpec(max_gap=86400, max_along_line_sep=6.2, max_deviation=1.5, clearance_tol=15, line_spacing=210, line_spacing_tol=0.04, max_diurnal_dev=60, diurnal_window=4 * 3600, max_crossover_abs=300, max_crossover_rms=150, max_heading_error=50, max_levelled_abs=200, max_levelled_rms=100, fourth_diff_tol=20)
@@ -154,7 +154,7 @@ def queries() -> dict:
         "level_ties_constant": _level("constant", "coefficients"),
         "level_ties_linear": _level("linear", "coefficients"),
         "check_levelling_residual": _level("linear", "flags"),
-    }
+    } | ingest.queries() | gridded.queries()
 
 
 EVENTS = """
@@ -204,7 +204,7 @@ OFFSETS = """, c AS (
 
 
 def oracle_sql() -> dict:
-    return {
+    return ingest.oracle_sql() | gridded.oracle_sql() | {
         "as_survey": EVENTS + "SELECT line, line_type, fid, seq, i, round(x, 5) AS x, round(y, 5) AS y, mag, round(radar_alt, 5) AS radar_alt FROM s",
         "enu_lonlat": EVENTS
         + """, p AS (SELECT *, 40 + y / (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(40)) + 1.175::DOUBLE * cos(4 * radians(40)) - 0.0023::DOUBLE * cos(6 * radians(40))) AS la FROM s),
