@@ -83,6 +83,16 @@ def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))
 
 
+def signed(c: Column, digits: int) -> Column:
+    """C's %+.nf."""
+    return F.format_string(f"%+.{digits}f", F.bround(c.cast("double"), digits))
+
+
+def general(v: float) -> str:
+    """C's %g of a parameter."""
+    return f"{v:g}"
+
+
 def signif(c: Column, digits: int = 3) -> Column:
     p = digits - 1 - F.floor(F.log10(F.abs(c)))
     return F.when(c == 0, F.lit(0.0)).otherwise(F.rint(c * F.pow(F.lit(10.0), p)) / F.pow(F.lit(10.0), p))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,19 +64,19 @@ def along_line_spacing(survey: DataFrame, spec: SurveySpec) -> CheckResult:
 
 def line_offsets(survey: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """survey with off, the signed distance to the planned line (plan: line, x0, y0, x1, y1; the first row of a line counts) or to the line's own
-    axis, and planned. Lines under three samples are left out; a planned line without length counts as none."""
+    axis, planned, and bad_plan. Lines under three samples are left out; a planned line without length counts as none."""
     fit = axes(survey).filter("n >= 3").select("line", "cx", "cy", "ux", "uy")
     if plan is not None:
-        p = plan.groupBy("line").agg(F.first(F.struct("x0", "y0", "x1", "y1")).alias("p"))
+        p = plan.withColumn("__place", F.monotonically_increasing_id()).groupBy("line").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), "__place").alias("p"))
         fit = fit.join(p, "line", "left").withColumn("length", F.hypot(F.col("p.x1") - F.col("p.x0"), F.col("p.y1") - F.col("p.y0")))
-        good = F.coalesce(F.col("length") > 0, F.lit(False))
+        good = G.finite(F.col("length")) & (F.col("length") > 0)
         pick = lambda a, b: F.when(good, a).otherwise(b)
         fit = fit.select(
-            "line", good.alias("planned"), pick(F.col("p.x0"), F.col("cx")).alias("cx"), pick(F.col("p.y0"), F.col("cy")).alias("cy"),
+            "line", good.alias("planned"), (F.col("p").isNotNull() & ~good).alias("bad_plan"), pick(F.col("p.x0"), F.col("cx")).alias("cx"), pick(F.col("p.y0"), F.col("cy")).alias("cy"),
             pick((F.col("p.x1") - F.col("p.x0")) / F.col("length"), F.col("ux")).alias("ux"), pick((F.col("p.y1") - F.col("p.y0")) / F.col("length"), F.col("uy")).alias("uy"),
         )
     else:
-        fit = fit.withColumn("planned", F.lit(False))
+        fit = fit.withColumns({"planned": F.lit(False), "bad_plan": F.lit(False)})
     off = (F.col("x") - F.col("cx")) * -F.col("uy") + (F.col("y") - F.col("cy")) * F.col("ux")
     return survey.join(fit, "line").withColumn("off", off).drop("cx", "cy", "ux", "uy")
 
@@ -90,7 +89,10 @@ def line_deviation(survey: DataFrame, spec: SurveySpec, plan: DataFrame | None =
         marked, "line_deviation", ["line", "planned"], F.abs(R.extreme("off")), F.lit(spec.max_deviation), "m",
         lambda v: F.concat(G.fixed(v, 0), F.lit(" m off "), F.when(F.col("planned"), "planned").otherwise("best-fit"), F.lit(" line")),
     )
-    note = F.when(~F.max("planned"), F.lit("no flight plan: best-fit lines")) if plan is not None else F.lit("no flight plan: best-fit lines")
+    note = F.lit("measured against a best-fit line; no flight plan supplied")
+    if plan is not None:
+        bad = F.array_sort(F.collect_set(F.when(F.col("bad_plan"), F.col("line"))))  # names of lines, not of samples
+        note = F.when(F.size(bad) > 0, F.concat(F.lit("zero-length plan segment for "), F.array_join(bad, ", "), F.lit("; best-fit line used there")))
     return CheckResult(flags, metric(df, "95th pct departure (m)", F.percentile(F.abs("off"), 0.95), spec.max_deviation, note))
 
 
@@ -106,7 +108,7 @@ def line_separation(survey: DataFrame, spec: SurveySpec) -> CheckResult:
     flags = pair.filter(F.abs("error") > spec.line_spacing_tol * 100).select(
         F.lit("line_separation").alias("check"), F.concat("p_line", F.lit(" / "), "line").alias("line"), none.cast("long").alias("i_start"), none.cast("long").alias("i_end"), none.alias("fid_start"), none.alias("fid_end"),
         no_time.alias("time_start"), no_time.alias("time_end"), *(((F.col(f"p_{c}") + F.col(c)) / 2).alias(c) for c in ("x", "y", "lon", "lat")), "value", F.lit(float(spec.line_spacing)).alias("threshold"), F.lit("m").alias("units"),
-        F.concat(G.fixed(F.col("value"), 0), F.lit(" m between lines ("), G.fixed(F.col("error"), 0), F.lit(" %)")).alias("description"),
+        F.concat("p_line", F.lit(" to "), "line", F.lit(": "), G.fixed(F.col("value"), 0), F.lit(f" m apart (nominal {G.general(spec.line_spacing)} m, "), G.signed(F.col("error"), 0), F.lit("%)")).alias("description"),
     )
     return CheckResult(flags, metric(pair, "max separation error (%)", F.max(F.abs("error")), spec.line_spacing_tol * 100, F.when(F.count("*") == 0, F.lit("fewer than two traverses"))))
 
@@ -120,64 +122,36 @@ def clearance(survey: DataFrame, spec: SurveySpec) -> CheckResult:
     return CheckResult(flags, metric(df, "95th pct |clearance error| (m)", F.percentile(F.abs("off"), 0.95), spec.clearance_tol, F.when(F.count("off") == 0, F.lit("no radar altitude"))))
 
 
-def running_median(v: np.ndarray, k: int) -> np.ndarray:
-    n = len(v)
-    if n < 3:
-        return v.copy()
-    k = min(k, n if n % 2 else n - 1)
-    whole = np.median(np.lib.stride_tricks.sliding_window_view(v, k), axis=1)
-    return np.concatenate([np.full(k // 2, whole[0]), whole, np.full(n - len(whole) - k // 2, whole[-1])])
-
-
-def running_max(v: np.ndarray, k: int) -> np.ndarray:
-    h = k // 2
-    return np.lib.stride_tricks.sliding_window_view(np.pad(v, h, constant_values=-np.inf), 2 * h + 1).max(axis=1)
-
-
-def spikes_of(v: np.ndarray, k: int, sigmas: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(amplitude, z, cleaned) of a segment; amplitude and z are NaN but at spikes.
-
-    The fourth difference of a spike stands out against the running scale of its neighbours; of a run of candidates the largest is the spike.
-    Ends are extended along their last two samples; missing samples are filled linearly and never are spikes.
-    """
-    v = v.astype(float)
-    ok, n, none = np.isfinite(v), len(v), np.full(len(v), np.nan)
-    if ok.sum() < 7:
-        return none, none.copy(), v.copy()
-    y = np.interp(np.arange(n), np.flatnonzero(ok), v[ok])
-    e = np.concatenate([[3 * y[0] - 2 * y[1], 2 * y[0] - y[1]], y, [2 * y[-1] - y[-2], 3 * y[-1] - 2 * y[-2]]])
-    d4 = e[:-4] - 4 * e[1:-3] + 6 * e[2:-2] - 4 * e[3:-1] + e[4:]
-    size = np.abs(d4)
-    floor = 0.5 * 1.4826 * np.median(size)
-    z = d4 / np.maximum(running_max(1.4826 * running_median(size, k), k), floor if floor > 0 else np.finfo(float).eps)
-    candidate = np.append(ok & (np.abs(z) > sigmas), False)
-    begin = np.flatnonzero(candidate & ~np.insert(candidate[:-1], 0, False))
-    end = np.flatnonzero(~candidate[1:] & candidate[:-1]) + 1
-    amplitude, shown, cleaned = none.copy(), none.copy(), v.copy()
-    for a, b in zip(begin, end):
-        j = a + int(np.argmax(size[a:b]))
-        inner = d4[j] / 6
-        if j < 2:
-            inner = y[j] - (2 * y[j + 1] - y[j + 2])
-        elif j >= n - 2:
-            inner = y[j] - (2 * y[j - 1] - y[j - 2])
-        amplitude[j], shown[j], cleaned[j] = inner, z[j], v[j] - inner
-    return amplitude, shown, cleaned
-
-
 def despike(survey: DataFrame, spec: SurveySpec) -> DataFrame:
-    """survey with seg, pos, amplitude, z (null but at spikes) and cleaned. A task holds one segment of one line at a time."""
-    df = with_segments(survey, spec.max_gap)
-    k, sigmas = spec.spike_window, spec.spike_nsigma
+    """survey with seg, pos, amplitude, z (null but at spikes) and cleaned.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        amplitude, z, cleaned = spikes_of(rows["mag"].to_numpy(float), k, sigmas)
-        return pd.DataFrame({"line": rows["line"], "seq": rows["seq"], "amplitude": amplitude, "z": z, "cleaned": cleaned})
-
-    found = df.filter("line IS NOT NULL").groupBy("line", "seg").applyInPandas(lambda rows: one(rows[["line", "seq", "mag"]]), "line string, seq long, amplitude double, z double, cleaned double")
-    found = found.select("line", "seq", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("amplitude", "z", "cleaned")))
-    return df.join(found, ["line", "seq"])
+    The fourth difference of a spike stands out against the running scale of its neighbours; of a run of candidates the largest is the spike. Ends are
+    extended along their last two samples; missing samples are filled linearly and never are spikes. All windows lie within a segment of a line,
+    so that one exchange by line serves them all.
+    """
+    keys, k = ["line", "seg"], spec.spike_window
+    whole = Window.partitionBy(*keys)
+    by = whole.orderBy("seq")
+    df = with_segments(survey, spec.max_gap).withColumns({"__y": F.col("mag"), "__n": F.count("*").over(whole), "__known": F.count("mag").over(whole)})
+    df = R.interpolated(df, keys, "seq", "__y")
+    y, p, n = F.col("__y"), F.col("pos"), F.col("__n")
+    back, ahead = [F.lag("__y", i).over(by) for i in (1, 2)], [F.lead("__y", i).over(by) for i in (1, 2)]
+    before = F.when(p == 1, 2 * y - ahead[0]).otherwise(back[0]), F.when(p == 1, 3 * y - 2 * ahead[0]).when(p == 2, 2 * back[0] - y).otherwise(back[1])
+    after = F.when(p == n, 2 * y - back[0]).otherwise(ahead[0]), F.when(p == n, 3 * y - 2 * back[0]).when(p == n - 1, 2 * ahead[0] - y).otherwise(ahead[1])
+    d4 = before[1] - 4 * before[0] + 6 * y - 4 * after[0] + after[1]
+    outer = F.when(p <= 2, y - (2 * ahead[0] - ahead[1])).when(p >= n - 1, y - (2 * back[0] - back[1]))
+    df = df.withColumns({"__d4": d4, "__outer": outer}).withColumn("__size", F.abs("__d4"))
+    df = R.running_median(df, keys, "seq", "__size", k, "__median")
+    floor = 0.5 * 1.4826 * F.median("__size").over(whole)
+    scale = F.greatest(1.4826 * R.running(F.max, F.col("__median"), keys, "seq", k), F.when(floor > 0, floor).otherwise(F.lit(float(np.finfo(float).eps))))
+    df = df.withColumn("__z", F.col("__d4") / scale)
+    df = df.withColumn("__hit", F.coalesce(F.col("mag").isNotNull() & (F.col("__known") >= 7) & (F.abs("__z") > spec.spike_nsigma), F.lit(False)))
+    df = df.withColumn("__run", p - F.row_number().over(Window.partitionBy(*keys, "__hit").orderBy("seq")))
+    first = F.row_number().over(Window.partitionBy(*keys, "__hit", "__run").orderBy(F.col("__size").desc(), "seq")) == 1
+    df = df.withColumn("__spike", F.col("__hit") & first)
+    df = df.withColumns({"amplitude": F.when(F.col("__spike"), F.coalesce("__outer", F.col("__d4") / 6)), "z": F.when(F.col("__spike"), F.col("__z"))})
+    df = df.withColumn("cleaned", F.col("mag") - F.coalesce("amplitude", F.lit(0.0)))
+    return df.drop("__y", "__n", "__known", "__d4", "__outer", "__size", "__median", "__z", "__hit", "__run", "__spike")
 
 
 def spikes(survey: DataFrame, spec: SurveySpec) -> CheckResult:
@@ -198,7 +172,7 @@ def noise_series(survey: DataFrame, spec: SurveySpec) -> DataFrame:
 def fourth_difference_noise(survey: DataFrame, spec: SurveySpec) -> CheckResult:
     df = noise_series(survey, spec)
     marked = R.runs(df, ["line", "seg"], "seq", F.abs("d4") > spec.fourth_diff_tol)
-    flags = R.flag_runs(marked, "fourth_difference", ["line", "seg"], F.abs(R.extreme("d4")), F.lit(spec.fourth_diff_tol), "nT", lambda v: F.concat(F.lit("fourth difference "), G.fixed(v, 3), F.lit(" nT")))
+    flags = R.flag_runs(marked, "fourth_difference", ["line", "seg"], F.abs(R.extreme("d4")), F.lit(spec.fourth_diff_tol), "nT", lambda v: F.concat(F.lit("fourth difference "), G.fixed(v, 3), F.lit(f" nT (limit {G.general(spec.fourth_diff_tol)} nT)")))
     return CheckResult(flags, metric(df, "max |4th difference| (nT)", F.coalesce(F.max(F.abs("d4")), F.lit(0.0)), spec.fourth_diff_tol), {"series": df.select("line", "seq", "i", "time", "d4")})
 
 
@@ -219,12 +193,13 @@ def diurnal_correction(survey: DataFrame, base: DataFrame) -> DataFrame:
     ends = b.agg(F.min_by("b0", "t0").alias("first"), F.max_by("b0", "t0").alias("last"), F.min("t0").alias("from"), F.max("t0").alias("to"))
     datum = base.filter(G.finite(F.col("mag_base"))).agg(F.median("mag_base").alias("datum"))
     hour = lambda c: F.floor(c / 3600)
-    b = b.filter("t1 IS NOT NULL").withColumn("hour", F.explode(F.sequence(hour(F.col("t0")), hour(F.col("t1")))))
-    df = survey.withColumn("t", G.seconds(F.col("time"))).withColumn("hour", hour(F.col("t")))
-    df = df.join(b, (df["hour"] == b["hour"]) & (df["t"] >= b["t0"]) & (df["t"] < b["t1"]), "left").drop("hour")
-    df = df.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(datum))  # one row each
+    b = b.filter("t1 IS NOT NULL").select("t0", "b0", "t1", "b1", F.explode(F.sequence(hour(F.col("t0")), hour(F.col("t1")))).alias("h"))
+    rows = survey.select(F.struct(*survey.columns).alias("row"), G.seconds(F.col("time")).alias("t")).withColumn("hour", hour(F.col("t")))
+    rows = rows.join(b, (F.col("hour") == F.col("h")) & (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), "left")
+    rows = rows.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(datum))  # one row each
     field = F.when(F.col("t") < F.col("from"), F.col("first")).when(F.col("t") >= F.col("to"), F.col("last")).otherwise(F.col("b0") + (F.col("b1") - F.col("b0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")))
-    return df.withColumn("mag", F.col("mag_raw") - (field - F.col("datum"))).select(*survey.columns)
+    mag = F.col("row.mag_raw") - (field - F.col("datum"))
+    return rows.select(*(mag.alias(c) if c == "mag" else F.col(f"row.`{c}`").alias(c) for c in survey.columns))
 
 
 def diurnal_chords(base: DataFrame, spec: SurveySpec) -> DataFrame:
@@ -254,15 +229,18 @@ def diurnal(survey: DataFrame, spec: SurveySpec, base: DataFrame) -> CheckResult
     stats = diurnal_chords(base, spec)
     marked = R.runs(stats.withColumn("one", F.lit(1)), ["one"], "k", F.col("exceed"))
     windows = marked.groupBy("run").agg(F.min("time").alias("ws"), F.max("time").alias("we"), F.max("dev").alias("peak"))
-    hit = survey.join(F.broadcast(windows), (F.col("time") >= F.col("ws")) & (F.col("time") <= F.col("we")))  # a few windows a flight
+    hour = lambda c: F.floor(G.seconds(c) / 3600)
+    by_hour = windows.withColumn("__hour", F.explode(F.sequence(hour(F.col("ws")), hour(F.col("we")))))  # samples meet windows by the hours that these touch
+    hit = survey.withColumn("__hour", hour(F.col("time"))).join(by_hour, "__hour").filter((F.col("time") >= F.col("ws")) & (F.col("time") <= F.col("we"))).drop("__hour")
     hit = hit.withColumn("window", F.col("run")).drop("run")
     inside = R.runs(hit, ["line", "window"], "seq", F.lit(True))
-    text = lambda v: F.concat(F.lit("base field departs "), G.fixed(v, 1), F.lit(" nT from its chord"))
-    flags = R.flag_runs(inside, "diurnal", ["line", "window"], F.max("peak"), F.lit(spec.max_diurnal_dev), "nT", text)
+    clock = lambda c: F.date_format(c, "HH:mm:ss")
+    told = lambda v, ws, we: F.concat(F.lit("acquired during diurnal excursion of "), G.fixed(v, 1), F.lit(f" nT over {G.general(spec.diurnal_window)} s ("), clock(ws), F.lit(" to "), clock(we), F.lit(" UTC)"))
+    flags = R.flag_runs(inside, "diurnal", ["line", "window", "ws", "we"], F.max("peak"), F.lit(spec.max_diurnal_dev), "nT", lambda v: told(v, F.col("ws"), F.col("we")))
     idle = windows.join(hit.select(F.col("window").alias("run")).distinct(), "run", "left_anti")
     none = F.lit(None).cast("double")
     lone = idle.select(
         F.lit("diurnal").alias("check"), none.cast("string").alias("line"), none.cast("long").alias("i_start"), none.cast("long").alias("i_end"), none.alias("fid_start"), none.alias("fid_end"), F.col("ws").alias("time_start"), F.col("we").alias("time_end"),
-        *(none.alias(c) for c in ("x", "y", "lon", "lat")), F.col("peak").alias("value"), F.lit(float(spec.max_diurnal_dev)).alias("threshold"), F.lit("nT").alias("units"), F.lit("no samples acquired during disturbed base field").alias("description"),
+        *(none.alias(c) for c in ("x", "y", "lon", "lat")), F.col("peak").alias("value"), F.lit(float(spec.max_diurnal_dev)).alias("threshold"), F.lit("nT").alias("units"), F.concat(F.lit("no samples "), told(F.col("peak"), F.col("ws"), F.col("we"))).alias("description"),
     )
     return CheckResult(flags.unionByName(lone), metric(stats, "max chord departure (nT)", F.max("dev"), spec.max_diurnal_dev, F.when(F.count("dev") == 0, F.lit("base record too short"))), {"base_stats": stats})

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a local one only where the session names none) and read from there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fluxline-"))
-    return df.checkpoint()
+    """df written once as a table in the folder that spark.checkpoint.dir names and read from there, so that columns and filters still prune its reading.
+    A local folder serves in local mode only, where the session names none."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="fluxline-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -50,25 +50,31 @@ def interpolated(df: DataFrame, keys: list[str], order: str, value: str) -> Data
 
 
 def running_median(df: DataFrame, keys: list[str], order: str, value: str, k: int, out: str) -> DataFrame:
-    """Median of k rows around each; k shrinks to the largest odd number of rows; a row near an end takes the nearest whole window's median."""
+    """Median of k rows around each; k shrinks to the largest odd number of rows; a row near an end takes the nearest whole window's median.
+
+    A whole window is its k neighbours as an array, sorted in generated code: percentile over a sliding frame would count each frame anew.
+    """
     h = k // 2
     whole = Window.partitionBy(*keys)
     by = whole.orderBy(order)
-    frame = by.rowsBetween(-h, h)
-    df = df.withColumns({"__n": F.count("*").over(whole), "__p": F.row_number().over(by)})
     v = F.col(value)
-    df = df.withColumns(
+    df = df.withColumns({"__n": F.count("*").over(whole), "__p": F.row_number().over(by)})
+    around = {f"__v{d}": (F.lag(value, -d) if d < 0 else F.lead(value, d)).over(by) for d in range(-h, h + 1) if d}
+    df = df.withColumns(around)
+    window = F.array(*around, v)
+    full = F.when((F.col("__p") > h) & (F.col("__p") <= F.col("__n") - h) & ~F.exists(window, F.isnull), F.sort_array(window)[h])
+    short = F.col("__n") < k
+    df = df.withColumn("__full", full).drop(*around).withColumns(
         {
-            "__full": F.when(F.count(v).over(frame) == k, F.percentile(v, 0.5).over(frame)),
-            "__all": F.percentile(v, 0.5).over(whole),
-            "__m1": F.percentile(F.when(F.col("__p") < F.col("__n"), v), 0.5).over(whole),
-            "__m2": F.percentile(F.when(F.col("__p") > 1, v), 0.5).over(whole),
+            "__all": F.percentile(F.when(short, v), 0.5).over(whole),
+            "__m1": F.percentile(F.when(short & (F.col("__p") < F.col("__n")), v), 0.5).over(whole),
+            "__m2": F.percentile(F.when(short & (F.col("__p") > 1), v), 0.5).over(whole),
         }
     )
     every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = F.when(F.col("__p") <= h, F.first("__full", True).over(every)).otherwise(F.last("__full", True).over(every))
-    short = F.when(F.col("__n") % 2 == 1, F.col("__all")).when(F.col("__p") <= F.col("__n") / 2, F.col("__m1")).otherwise(F.col("__m2"))
-    got = F.when(F.col("__n") < 3, v).when(F.col("__n") >= k, F.coalesce("__full", ends)).otherwise(short)
+    few = F.when(F.col("__n") % 2 == 1, F.col("__all")).when(F.col("__p") <= F.col("__n") / 2, F.col("__m1")).otherwise(F.col("__m2"))
+    got = F.when(F.col("__n") < 3, v).when(short, few).otherwise(F.coalesce("__full", ends))
     return df.withColumn(out, got).drop("__n", "__p", "__full", "__all", "__m1", "__m2")
 
 

@@ -9,8 +9,11 @@ from fluxline.operators import checks as K
 from fluxline.operators import crossovers as X
 from fluxline.operators import runs as R
 from fluxline.operators.survey import as_survey
+from fluxline.plans import qc
 from fluxline.spec import SurveySpec
 
+import spike_oracle as O
+
 T0 = dt.datetime(2024, 6, 14, 8)
 SCHEMA = "line string, time timestamp, fid long, x double, y double, mag_raw double, radar_alt double"
 
@@ -71,16 +74,16 @@ def test_running_median_matches_numpy(spark):
         v = rng.normal(size=n)
         df = spark.createDataFrame([("a", k, float(x)) for k, x in enumerate(v)], "line string, seq long, v double")
         got = [r.m for r in R.running_median(df, ["line"], "seq", "v", 21, "m").orderBy("seq").collect()]
-        assert np.allclose(got, K.running_median(v, 21))
+        assert np.allclose(got, O.running_median(v, 21))
 
 
 @pytest.mark.parametrize("seed", range(10))
 def test_spike_sensitivity(seed):
     rng = np.random.default_rng(seed)
     v = 200 * np.sin(np.linspace(0, 6, 400)) + rng.normal(0, 0.02, 400)
-    assert np.isnan(K.spikes_of(v, 21, 6)[0]).all()
+    assert np.isnan(O.spikes_of(v, 21, 6)[0]).all()
     v[199] += 25 * 0.02 * 1.5
-    amplitude, _, cleaned = K.spikes_of(v, 21, 6)
+    amplitude, _, cleaned = O.spikes_of(v, 21, 6)
     assert np.flatnonzero(~np.isnan(amplitude)).tolist() == [199] and abs(cleaned[199] - v[198]) < 3.5
 
 
@@ -137,3 +140,44 @@ def test_base_station(spark):
     assert chords.filter("exceed").agg(F.min("k"), F.max("k")).first()[:] == (241, 361)
     flags = K.diurnal(s, spec, base).flags.collect()
     assert flags and all(round(f.value, 3) <= 20 for f in flags)
+
+
+def test_spikes_by_windows_equal_arrays(spark):
+    rng, rows = np.random.default_rng(8), []
+    for line, n in (("A", 6), ("B", 12), ("C", 20), ("D", 22), ("E", 150), ("F", 151)):
+        v = 100 * np.sin(np.linspace(0, 4, n)) + rng.normal(0, 0.02, n)
+        for k in rng.choice(n, max(1, n // 30), replace=False):
+            v[k] += 8
+        v[rng.choice(n, n // 20, replace=False)] = np.nan
+        rows += [(line, at(k), k, 0.0, 6.0 * k, float(x), 60.0) for k, x in enumerate(v)]
+    found = K.despike(as_survey(spark.createDataFrame(rows, SCHEMA)), SurveySpec()).orderBy("line", "seq").toPandas()
+    for line, part in found.groupby("line"):
+        amplitude, z, cleaned = O.spikes_of(part["mag"].to_numpy(float), 21, 6)
+        for name, want in (("amplitude", amplitude), ("z", z), ("cleaned", cleaned)):
+            assert np.allclose(part[name].to_numpy(float), want, equal_nan=True), (line, name)
+
+
+def test_acceptance_run(spark):
+    base = spark.createDataFrame([(at(600 * k), 50000.0) for k in range(60)], "time timestamp, mag_base double")
+    spec = SurveySpec(tie_spacing=300, diurnal_window=120)
+    run = qc.run_qc(flown(spark), spec, base)
+    card = {r.check: r for r in run.scorecard.collect()}
+    assert [c for c, _ in qc.CHECKS] == [r.check for r in run.scorecard.orderBy("place").collect()] and {r.status for r in card.values()} <= {"pass", "n/a"}
+    stats = run.stats.first()
+    assert (stats.n_lines, stats.n_traverse, stats.n_tie, stats.n_crossovers, stats.n_flags, stats.accepted_pct, stats.diurnal_corrected, stats.has_lonlat) == (8, 6, 2, 12, 0, 100.0, True, True)
+    assert stats.line_km == pytest.approx(stats.traverse_km + stats.tie_km) and len(run.stats.columns) == 19
+    assert {r.status for r in run.lines.collect()} == {"pass"} and run.flags.count() == 0
+    without = qc.run_qc(flown(spark, a=lambda r: r.__setitem__(6, 200.0) if r[0] == "L2" and r[2] == 7 else None), spec)
+    table = [tuple(r) for r in qc.flag_table(without.flags).collect()]
+    assert table == [("Terrain clearance", "L2", "08:06:40", "08:06:40", "7", 140.0, 15.0, "m", "140 m above nominal clearance")]
+    card = {r.check: r for r in without.scorecard.collect()}
+    assert card["diurnal"].status == "n/a" and card["diurnal"].note == "no base-station record supplied" and card["diurnal"].threshold == 3 and card["clearance"].status == "fail"
+    assert {r.line: r.status for r in without.lines.collect()}["L2"] == "fail"
+
+
+def test_planned_lines(spark):
+    plan = spark.createDataFrame([("L0", -40.0, 0.0, -40.0, 600.0), ("L1", 200.0, 0.0, 200.0, 0.0), ("L2", 400.0, 0.0, 400.0, 600.0)], "line string, x0 double, y0 double, x1 double, y1 double")
+    got = K.line_deviation(flown(spark), SurveySpec(), plan)
+    flag = got.flags.first()
+    assert (flag.line, flag.value, flag.description) == ("L0", 40.0, "40 m off planned line") and got.flags.count() == 1
+    assert got.metric.first().note == "zero-length plan segment for L1; best-fit line used there"
