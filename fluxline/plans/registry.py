@@ -12,18 +12,35 @@ from ..operators import runs as R
 from ..operators.survey import with_segments, with_steps
 from ..spec import SurveySpec
 from . import adapters as A
+from . import crossing_sql as S
 from . import gridded, ingest, qc
 
 #: Limits that make the driver's tables pass and fail in parts.
-SPEC = SurveySpec(max_gap=86400, max_along_line_sep=6.2, max_deviation=1.5, clearance_tol=15, line_spacing=210, line_spacing_tol=0.04, max_diurnal_dev=60, diurnal_window=4 * 3600, max_crossover_abs=300, max_crossover_rms=150, max_heading_error=50, max_levelled_abs=200, max_levelled_rms=100, fourth_diff_tol=20)
+SPEC = SurveySpec(max_gap=86400, max_along_line_sep=6.2, max_deviation=1.5, clearance_tol=15, line_spacing=210, line_spacing_tol=0.04, max_diurnal_dev=60, diurnal_window=4 * 3600, max_crossover_abs=200, max_crossover_rms=150, max_heading_error=0.5, max_levelled_abs=150, max_levelled_rms=100, fourth_diff_tol=20)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 5) for c in names})
 
 
+#: The same for dense lines of noise.
+DENSE = SurveySpec(max_gap=86400, spike_nsigma=1.8, fourth_diff_tol=20)
+#: A base station's limits.
+STORM = SurveySpec(max_diurnal_dev=25, diurnal_window=4 * 3600)
+
+
+def _near(*names: str) -> dict:
+    """Rounded off the ties of short decimals."""
+    return {c: F.round(F.col(c) + 3e-7, 4) for c in names}
+
+
+def _table(flags: DataFrame) -> DataFrame:
+    """All sixteen columns of flags; times in microseconds."""
+    return flags.withColumns(_near("x", "y", "lon", "lat", "value", "threshold") | {c: F.unix_micros(c) for c in ("time_start", "time_end")})
+
+
 def _flags(result: K.CheckResult) -> DataFrame:
-    return _rounded(result.flags.select("line", "i_start", "i_end", "x", "y", "value", "threshold"), "x", "y", "value")
+    return _table(result.flags)
 
 
 def _metric(result: K.CheckResult) -> DataFrame:
@@ -86,8 +103,16 @@ def diurnal_chord(spark, sf_dir):
 
 
 def check_diurnal(spark, sf_dir):
-    r = K.diurnal(A.events_survey(spark, sf_dir), SPEC, A.base_station(spark, sf_dir))
-    return _rounded(r.flags.select("line", "i_start", "i_end", "value", "threshold"), "value")
+    return _flags(K.diurnal(A.events_survey(spark, sf_dir), STORM, A.base_station(spark, sf_dir)))
+
+
+def check_line_deviation_plan(spark, sf_dir):
+    return _flags(K.line_deviation(A.events_survey(spark, sf_dir), SPEC, A.flight_plan(spark, sf_dir)))
+
+
+def metric_line_deviation_plan(spark, sf_dir):
+    m = K.line_deviation(A.events_survey(spark, sf_dir), SPEC, A.flight_plan(spark, sf_dir)).metric
+    return m.withColumns(_near("value"))
 
 
 def _crossings(spark, sf_dir):
@@ -96,34 +121,47 @@ def _crossings(spark, sf_dir):
 
 
 def crossovers(spark, sf_dir):
-    return _crossings(spark, sf_dir)[1]
+    x = _crossings(spark, sf_dir)[1]
+    return x.withColumns(_near("x", "y", "lon", "lat", "mag_traverse", "mag_tie", "misfit", "alt_traverse", "alt_tie") | {"time": F.unix_micros("time")})
 
 
 def check_crossovers(spark, sf_dir):
     s, x = _crossings(spark, sf_dir)
-    return X.crossover_misfit(s, SPEC, x).flags
+    return _flags(X.crossover_misfit(s, SPEC, x))
 
 
 def check_heading_error(spark, sf_dir):
     s, x = _crossings(spark, sf_dir)
-    return X.heading_error(s, SPEC, x).metric
+    return _flags(X.heading_error(s, SPEC, x))
+
+
+def by_heading(spark, sf_dir):
+    s, x = _crossings(spark, sf_dir)
+    return X.headings(s, SPEC, x).withColumns(_near("mean_misfit"))
 
 
 def _level(order, part):
     def query(spark, sf_dir):
         s, x = _crossings(spark, sf_dir)
         levelled, coefficients, after = X.level_ties(s, x, order)
-        return coefficients if part == "coefficients" else X.levelling_residual(levelled, SPEC, after).flags
+        if part == "coefficients":
+            return coefficients.withColumns({"c0": F.round(F.col("c0") + 3e-7, 4), "c1": F.round(F.col("c1") + 3e-9, 6)})
+        return _flags(X.levelling_residual(levelled, SPEC, after))
 
     return query
 
 
+def spike_detect(spark, sf_dir):
+    df = K.despike(A.lineitem_survey(spark, sf_dir), DENSE).filter("amplitude IS NOT NULL")
+    return df.select("line", "seq", "seg", "amplitude", "z", "cleaned").withColumns(_near("amplitude", "z", "cleaned"))
+
+
 def _result(spark, sf_dir):
     return qc.run_qc(A.events_survey(spark, sf_dir), SPEC, A.base_station(spark, sf_dir))
 
 
 def scorecard(spark, sf_dir):
-    return _result(spark, sf_dir).scorecard
+    return _result(spark, sf_dir).scorecard.withColumns(_near("metric", "threshold", "pct_samples"))
 
 
 def flag_table(spark, sf_dir):
@@ -131,26 +169,28 @@ def flag_table(spark, sf_dir):
 
 
 def lines(spark, sf_dir):
-    return _result(spark, sf_dir).lines
+    df = _result(spark, sf_dir).lines
+    return df.withColumns(_near("length_km", "flagged_km") | {c: F.unix_micros(c) for c in ("start", "end")})
 
 
 def survey_stats(spark, sf_dir):
-    return _result(spark, sf_dir).stats
+    df = _result(spark, sf_dir).stats
+    return df.withColumns(_near("line_km", "traverse_km", "tie_km", "flagged_km", "accepted_pct", "duration_h") | {c: F.unix_micros(c) for c in ("start", "end")})
 
 
 def queries() -> dict:
-    plain = [as_survey, enu_lonlat, step_bearing, segments, runs, fourth_difference, running_median, running_max, line_stats, diurnal_correction, diurnal_chord, check_diurnal, crossovers, check_crossovers, check_heading_error, scorecard, flag_table, lines, survey_stats]
+    plain = [as_survey, enu_lonlat, step_bearing, segments, runs, fourth_difference, running_median, running_max, line_stats, diurnal_correction, diurnal_chord, check_diurnal, check_line_deviation_plan, metric_line_deviation_plan, crossovers, check_crossovers, check_heading_error, by_heading, spike_detect, scorecard, flag_table, lines, survey_stats]
     return {f.__name__: f for f in plain} | {
         "check_sample_interval": _check(K.sample_interval),
         "metric_sample_interval": _check(K.sample_interval, _metric),
         "check_along_line_spacing": _check(K.along_line_spacing),
         "check_line_deviation": _check(K.line_deviation),
         "metric_line_deviation": _check(K.line_deviation, _metric),
-        "check_line_separation": lambda spark, sf_dir: K.line_separation(A.events_survey(spark, sf_dir), SPEC).flags.select("line", F.round("value", 5).alias("value"), "threshold"),
+        "check_line_separation": _check(K.line_separation),
         "check_clearance": _check(K.clearance),
         "metric_clearance": _check(K.clearance, _metric),
-        "check_spikes": _check(K.spikes, lambda r: r.flags, A.lineitem_survey),
-        "check_fourth_difference": _check(K.fourth_difference_noise, lambda r: r.flags, A.lineitem_survey),
+        "check_spikes": lambda spark, sf_dir: _flags(K.spikes(A.lineitem_survey(spark, sf_dir), DENSE)),
+        "check_fourth_difference": lambda spark, sf_dir: _flags(K.fourth_difference_noise(A.lineitem_survey(spark, sf_dir), DENSE)),
         "level_ties_constant": _level("constant", "coefficients"),
         "level_ties_linear": _level("linear", "coefficients"),
         "check_levelling_residual": _level("linear", "flags"),
@@ -163,7 +203,7 @@ WITH e AS (
 ), e1 AS (
   SELECT CASE WHEN user_id % 15 = 0 THEN 'T' ELSE 'L' END || user_id AS line, ts AS time, event_id AS fid, n AS seq, 54000 + value AS mag, 60 + (value - 250) / 10 AS radar_alt,
          CASE WHEN user_id % 15 = 0 THEN 450.0::DOUBLE * n ELSE 200.0::DOUBLE * user_id + 2 * sin(n / 9) END AS x,
-         CASE WHEN user_id % 15 = 0 THEN 30.0::DOUBLE * (user_id // 15 + 1) + 2 * sin(n / 9) ELSE 6.0::DOUBLE * n END AS y
+         CASE WHEN user_id % 15 = 0 THEN 30.0::DOUBLE * (user_id // 15 + 1) + 2 * sin(n / 9) WHEN user_id % 2 = 1 THEN 600 - 6.0::DOUBLE * n ELSE 6.0::DOUBLE * n END AS y
   FROM e
 ), s AS (
   SELECT *, CASE WHEN line LIKE 'T%' THEN 'tie' ELSE 'traverse' END AS line_type, row_number() OVER (ORDER BY line LIKE 'T%', line, seq) AS i,
@@ -186,15 +226,6 @@ BASE = """, b0 AS (
 """
 
 
-def _runs_sql(mark: str, value: str, threshold: str, source: str = "s") -> str:
-    return f""", m AS (SELECT *, coalesce({mark}, false) AS mark FROM {source}),
-g AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY seq) - row_number() OVER (PARTITION BY line, mark ORDER BY seq) AS run FROM m)
-SELECT line, arg_min(i, seq) AS i_start, arg_max(i, seq) AS i_end, round((arg_min(x, seq) + arg_max(x, seq)) / 2, 5) AS x, round((arg_min(y, seq) + arg_max(y, seq)) / 2, 5) AS y,
-       round({value}, 5) AS value, {threshold}::DOUBLE AS threshold
-FROM g WHERE mark GROUP BY line, run
-"""
-
-
 OFFSETS = """, c AS (
   SELECT line, avg(x) AS cx, avg(y) AS cy, 0.5::DOUBLE * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM s GROUP BY line HAVING count(*) >= 3
 ), o AS (
@@ -203,8 +234,172 @@ OFFSETS = """, c AS (
 """
 
 
+#: After EVENTS: sl, the survey with lon and lat.
+PLACED = """, pl AS (SELECT *, 40 + y / (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(40)) + 1.175::DOUBLE * cos(4 * radians(40)) - 0.0023::DOUBLE * cos(6 * radians(40))) AS lat FROM s),
+sl AS MATERIALIZED (SELECT *, -100 + x / (111412.84::DOUBLE * cos(radians((40 + lat) / 2)) - 93.5::DOUBLE * cos(3 * radians((40 + lat) / 2)) + 0.118::DOUBLE * cos(5 * radians((40 + lat) / 2))) AS lon FROM pl)"""
+#: After PLACED and BASE: sv, the survey with its corrected field.
+CORRECTED = """, bv AS (SELECT *, lead(t) OVER (ORDER BY t) AS t1, lead(b) OVER (ORDER BY t) AS b1 FROM b), bz AS (SELECT median(b) AS datum, arg_min(b, t) AS first, arg_max(b, t) AS last FROM b),
+sv AS MATERIALIZED (SELECT sl.* REPLACE (sl.mag - (CASE WHEN v.t IS NULL THEN z.first WHEN v.t1 IS NULL THEN z.last ELSE v.b + (v.b1 - v.b) * (epoch_us(sl.time) / 1e6 - v.t) / (v.t1 - v.t) END - z.datum) AS mag)
+  FROM sl ASOF LEFT JOIN bv v ON epoch_us(sl.time) / 1e6 >= v.t CROSS JOIN bz z)"""
+#: After LINEITEM: s with places and times.
+DENSE_LINES = """WITH s0 AS (
+  SELECT 'L' || l_suppkey AS line, 54000 + l_extendedprice / 1000 AS mag, 200.0::DOUBLE * l_suppkey AS x, row_number() OVER w AS seq
+  FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)
+), s AS (SELECT *, seq AS fid, 6.0::DOUBLE * seq AS y, make_timestamp(1704067200000000 + seq * 100000) AS time, 0.1 AS dt, row_number() OVER (ORDER BY line, seq) AS i FROM s0)""" + PLACED
+
+
+def _all_columns(ctes: str, *selects: str) -> str:
+    near = ", ".join(f"round({c} + 3e-7, 4) AS {c}" for c in ("x", "y", "lon", "lat", "value", "threshold"))
+    return f"{ctes} SELECT * REPLACE ({near}, epoch_us(time_start) AS time_start, epoch_us(time_end) AS time_end) FROM (" + " UNION ALL ".join(selects) + ")"
+
+
+def _gap_flags(spec, source):
+    at = {"line": "line", "i_start": "pi", "i_end": "i", "fid_start": "pfid", "fid_end": "fid", "time_start": "pt", "time_end": "time", "value": "dt", "threshold": f"{spec.max_gap}", "units": "'s'", "description": S.fixed("dt", 1) + " || ' s break in data stream'"}
+    at |= {c: f"(p{c} + {c}) / 2" for c in ("x", "y", "lon", "lat")}
+    before = ", ".join(f"lag({c}) OVER w AS p{c}" for c in ("i", "fid", "x", "y", "lon", "lat")) + ", lag(time) OVER w AS pt"
+    return S.flags("sample_interval", at, f"FROM (SELECT *, {before} FROM {source} WINDOW w AS (PARTITION BY line ORDER BY seq)) WHERE dt > {spec.max_gap}")
+
+
+def _spacing_flags(spec, source):
+    """Runs of long steps, each from the sample before."""
+    limit = spec.max_along_line_sep
+    before = ", ".join(f"lag({c}) OVER w AS p{c}" for c in ("i", "fid", "x", "y", "lon", "lat")) + ", lag(time) OVER w AS pt"
+    marked = f"SELECT *, {before}, coalesce(dt <= {spec.max_gap} AND step > {limit}, false) AS mark FROM {source} WINDOW w AS (PARTITION BY line ORDER BY seq)"
+    runs = f"SELECT *, row_number() OVER (PARTITION BY line ORDER BY seq) - row_number() OVER (PARTITION BY line, mark ORDER BY seq) AS run FROM ({marked})"
+    ends = ", ".join(f"arg_min(p{c}, seq) AS {c}a, arg_max({c}, seq) AS {c}b" for c in ("i", "fid", "x", "y", "lon", "lat"))
+    at = {"line": "line", "time_start": "ta", "time_end": "tb", "value": "value", "threshold": f"{limit}", "units": "'m'", "description": f"'samples up to ' || {S.fixed('value', 1)} || ' m apart (limit {limit:.1f} m)'"}
+    at |= {f"{c}_start": f"{c}a" for c in ("i", "fid")} | {f"{c}_end": f"{c}b" for c in ("i", "fid")} | {c: f"({c}a + {c}b) / 2" for c in ("x", "y", "lon", "lat")}
+    return S.flags("along_line_spacing", at, f"FROM (SELECT line, {ends}, arg_min(pt, seq) AS ta, arg_max(time, seq) AS tb, max(step) AS value FROM ({runs}) WHERE mark GROUP BY line, run)")
+
+
+def _offsets(source, planned=False):
+    plan = "SELECT line, x0, y0, x1, y1, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len FROM plan" if planned else "SELECT NULL::VARCHAR AS line, 0.0 AS x0, 0.0 AS y0, 0.0 AS x1, 0.0 AS y1, 0.0 AS len"
+    head = ", plan AS (SELECT DISTINCT 'L' || user_id AS line, 200.0::DOUBLE * user_id + 1 AS x0, 0.0::DOUBLE AS y0, 200.0::DOUBLE * user_id + 1 AS x1, CASE WHEN user_id % 20 = 1 THEN 0.0 ELSE 600.0 END::DOUBLE AS y1 FROM events WHERE user_id % 15 <> 0 AND user_id % 2 = 1)" if planned else ""
+    return head + f""", ac AS (SELECT line, avg(x) AS cx, avg(y) AS cy, 0.5::DOUBLE * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM {source} GROUP BY line HAVING count(*) >= 3),
+af AS (SELECT ac.line, coalesce(p.len > 0, false) AS planned, p.line IS NOT NULL AND NOT coalesce(p.len > 0, false) AS bad, CASE WHEN p.len > 0 THEN p.x0 ELSE cx END AS ox, CASE WHEN p.len > 0 THEN p.y0 ELSE cy END AS oy,
+  CASE WHEN p.len > 0 THEN (p.x1 - p.x0) / p.len ELSE cos(a) END AS ux, CASE WHEN p.len > 0 THEN (p.y1 - p.y0) / p.len ELSE sin(a) END AS uy FROM ac LEFT JOIN ({plan}) p ON p.line = ac.line),
+od AS MATERIALIZED (SELECT q.*, af.planned, af.bad, (x - ox) * -uy + (y - oy) * ux AS dev FROM {source} q JOIN af ON af.line = q.line)""" + S.runs(f"abs(dev) > {SPEC.max_deviation}", "dr", "line", "od")
+
+
+def _deviation_flags():
+    text = f"{S.fixed('value', 0)} || ' m off ' || CASE WHEN planned THEN 'planned' ELSE 'best-fit' END || ' line'"
+    return S.run_flags("line_deviation", "dr", "line, planned", "max(abs(dev))", f"{SPEC.max_deviation}", "m", text)
+
+
+def _separation(source):
+    return f""", ce AS (SELECT line, avg(x) AS x, avg(y) AS y, avg(lon) AS lon, avg(lat) AS lat FROM {source} WHERE line_type = 'traverse' GROUP BY line),
+se AS MATERIALIZED (SELECT *, x - px AS value, (x - px - {SPEC.line_spacing}) / {SPEC.line_spacing} * 100 AS err FROM (SELECT *, lag(line) OVER w AS pline, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM ce WINDOW w AS (ORDER BY x, line)) WHERE pline IS NOT NULL)"""
+
+
+def _separation_flags():
+    text = f"pline || ' to ' || line || ': ' || {S.fixed('value', 0)} || ' m apart (nominal {SPEC.line_spacing:g} m, ' || printf('%+.0f', round_even(err, 0)) || '%)'"
+    at = {"line": "pline || ' / ' || line", "value": "value", "threshold": f"{SPEC.line_spacing}", "units": "'m'", "description": text} | {c: f"(p{c} + {c}) / 2" for c in ("x", "y", "lon", "lat")}
+    return S.flags("line_separation", at, f"FROM se WHERE abs(err) > {SPEC.line_spacing_tol * 100}")
+
+
+def _clearance(source):
+    return f", cs AS (SELECT *, radar_alt - {SPEC.nominal_clearance} AS off FROM {source})" + S.runs(f"abs(off) > {SPEC.clearance_tol}", "cr", "line", "cs")
+
+
+def _clearance_flags():
+    text = f"{S.fixed('abs(value)', 0)} || CASE WHEN value > 0 THEN ' m above' ELSE ' m below' END || ' nominal clearance'"
+    return S.run_flags("clearance", "cr", "line", "arg_max(off, (abs(off), -seq))", f"{SPEC.clearance_tol}", "m", text)
+
+
+def _spike_flags(spec):
+    at = {"line": "line", "i_start": "i", "i_end": "i", "fid_start": "fid", "fid_end": "fid", "time_start": "time", "time_end": "time", "x": "x", "y": "y", "lon": "lon", "lat": "lat", "value": "abs(amplitude)", "threshold": f"{spec.spike_nsigma} * abs(amplitude / z)", "units": "'nT'"}
+    return S.flags("spikes", at | {"description": f"{S.fixed('abs(amplitude)', 1)} || ' nT spike (' || {S.fixed('abs(z)', 0)} || ' sigma)'"}, "FROM sp WHERE amplitude IS NOT NULL")
+
+
+def _noise(spec):
+    w = "OVER (PARTITION BY line, seg ORDER BY seq)"
+    scale = 16 if spec.fourth_diff_normalize else 1
+    series = f""", no AS MATERIALIZED (SELECT *, CASE WHEN n >= 5 THEN (lag(cleaned, 2) {w} - 4 * lag(cleaned) {w} + 6 * cleaned - 4 * lead(cleaned) {w} + lead(cleaned, 2) {w}) / {scale} END AS e4 FROM (SELECT * EXCLUDE (d4, v, b1, b2, a1, a2) FROM sp))"""
+    return series + S.runs(f"abs(e4) > {spec.fourth_diff_tol}", "nr", "line, seg", "no")
+
+
+def _noise_flags(spec):
+    text = f"'fourth difference ' || {S.fixed('value', 3)} || ' nT (limit {spec.fourth_diff_tol:g} nT)'"
+    return S.run_flags("fourth_difference", "nr", "line, seg", "max(abs(e4))", f"{spec.fourth_diff_tol}", "nT", text)
+
+
+def _storm(spec, source):
+    """CTEs after BASE and _CHORDS: hw has the samples in windows, numbered by run within line and window, dw the windows."""
+    return f""", dx AS (SELECT *, coalesce(max(coalesce(dev > {spec.max_diurnal_dev}, false)) OVER (ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), false) AS mark FROM (SELECT d.*, b.time FROM d JOIN b USING (k))),
+dg AS (SELECT *, row_number() OVER (ORDER BY k) - row_number() OVER (PARTITION BY mark ORDER BY k) AS run FROM dx),
+dw AS MATERIALIZED (SELECT run AS win, min(time) AS ws, max(time) AS we, max(dev) AS peak FROM dg WHERE mark GROUP BY run),
+hs AS MATERIALIZED (SELECT q.*, win, ws, we, peak FROM {source} q JOIN dw ON q.time BETWEEN ws AND we),
+hw AS MATERIALIZED (SELECT *, seq - row_number() OVER (PARTITION BY line, win ORDER BY seq) AS run FROM hs)"""
+
+
+def _storm_flags(spec):
+    clock = lambda c: f"strftime({c}, '%H:%M:%S')"
+    text = f"'acquired during diurnal excursion of ' || {S.fixed('value', 1)} || ' nT over {spec.diurnal_window:g} s (' || {clock('ws')} || ' to ' || {clock('we')} || ' UTC)'"
+    lone = S.flags("diurnal", {"time_start": "ws", "time_end": "we", "value": "value", "threshold": f"{spec.max_diurnal_dev}", "units": "'nT'", "description": f"'no samples ' || {text}"}, "FROM (SELECT *, peak AS value FROM dw WHERE win NOT IN (SELECT win FROM hs))")
+    return S.run_flags("diurnal", "hw", "line, win, ws, we", "max(peak)", f"{spec.max_diurnal_dev}", "nT", text), lone
+
+
+def _qc() -> str:
+    """CTEs of the whole acceptance run: fl has all flags, me the metrics."""
+    parts = EVENTS + PLACED + BASE + CORRECTED + S.crossings("sv") + S.levelled("linear", "sv") + S.headings(SPEC.line_azimuth, "sv") + _offsets("sv") + _separation("sv") + _clearance("sv") + S.segments(SPEC.max_gap, "sv")
+    parts += S.spikes(SPEC.spike_window, SPEC.spike_nsigma).replace(", l AS", ", sk_l AS").replace(" FROM l)", " FROM sk_l)").replace(", d AS MATERIALIZED", ", sk_d AS MATERIALIZED").replace("\nd AS MATERIALIZED", "\nsk_d AS MATERIALIZED").replace("FROM d WINDOW", "FROM sk_d WINDOW").replace("\nr AS MATERIALIZED", "\nsk_r AS MATERIALIZED").replace("AS zz FROM r)", "AS zz FROM sk_r)")
+    parts += _noise(SPEC) + _CHORDS + _storm(SPEC, "sv")
+    flags = [_gap_flags(SPEC, "sv"), _spacing_flags(SPEC, "sv"), _deviation_flags(), _separation_flags(), _clearance_flags(), _spike_flags(SPEC), _noise_flags(SPEC), *_storm_flags(SPEC), S.crossover_flags(SPEC.max_crossover_abs), S.heading_flags(SPEC.max_heading_error, "sv"), S.residual_flags(SPEC.max_levelled_abs)]
+    metrics = [
+        ("longest gap (s)", "coalesce(greatest(max(dt), 0), 0)", SPEC.max_gap, "sv", "NULL"), ("max sample spacing (m)", "coalesce(max(step), 0)", SPEC.max_along_line_sep, f"sv WHERE dt <= {SPEC.max_gap}", "NULL"),
+        ("95th pct departure (m)", "quantile_cont(abs(dev), 0.95)", SPEC.max_deviation, "od", "'measured against a best-fit line; no flight plan supplied'"), ("max separation error (%)", "max(abs(err))", SPEC.line_spacing_tol * 100, "se", "CASE WHEN count(*) = 0 THEN 'fewer than two traverses' END"),
+        ("95th pct |clearance error| (m)", "quantile_cont(abs(off), 0.95)", SPEC.clearance_tol, "cs", "CASE WHEN count(off) = 0 THEN 'no radar altitude' END"), ("spike count", "count(*)", 0, "sp WHERE amplitude IS NOT NULL", "NULL"), ("max |4th difference| (nT)", "coalesce(max(abs(e4)), 0)", SPEC.fourth_diff_tol, "no", "NULL"),
+        ("max chord departure (nT)", "max(dev)", SPEC.max_diurnal_dev, "d", "CASE WHEN count(dev) = 0 THEN 'base record too short' END"), ("RMS crossover misfit (nT)", "sqrt(avg(misfit * misfit))", SPEC.max_crossover_rms, "xo", "CASE WHEN count(*) = 0 THEN 'no traverse/tie intersections found' END"),
+        ("heading error (nT)", "max(value)", SPEC.max_heading_error, "he", "CASE WHEN max(value) IS NULL THEN 'needs crossovers on traverses flown in both directions' END"), ("RMS misfit after levelling (nT)", "sqrt(avg(misfit_after * misfit_after))", SPEC.max_levelled_rms, "xl", f"{S.fixed('sqrt(avg(misfit * misfit))', 2)} || ' nT before levelling'"),
+    ]
+    rows = " UNION ALL ".join(f"SELECT {i}::INT AS place, '{check}' AS \"check\", '{label}' AS label, '{name}' AS metric_label, ({value})::DOUBLE AS metric, {float(limit)}::DOUBLE AS threshold, ({note})::VARCHAR AS note FROM {source}" for i, ((check, label), (name, value, limit, source, note)) in enumerate(zip(qc.CHECKS, metrics), 1))
+    return parts + ", fl AS MATERIALIZED (" + " UNION ALL ".join(flags) + """), me AS MATERIALIZED (""" + rows + """),
+hi AS MATERIALIZED (SELECT DISTINCT "check", unnest(range(i_start, i_end + 1)) AS i FROM fl WHERE i_start IS NOT NULL),
+ca AS MATERIALIZED (SELECT *, CASE WHEN metric IS NULL THEN 'n/a' WHEN metric > threshold OR n_flags > 0 THEN 'fail' ELSE 'pass' END AS status FROM (
+  SELECT me.*, (SELECT count(*) FROM fl WHERE fl."check" = me."check") AS n_flags, (SELECT count(*) FROM hi WHERE hi."check" = me."check") AS n_samples, 100.0 * (SELECT count(*) FROM hi WHERE hi."check" = me."check") / (SELECT count(*) FROM sv) AS pct_samples FROM me)),
+li AS MATERIALIZED (SELECT *, CASE WHEN n_flags > 0 THEN 'fail' ELSE 'pass' END AS status FROM (
+  SELECT line, line_type, count(*) AS n_samples, min(time) AS start, max(time) AS "end", sum(coalesce(step, 0)) / 1000 AS length_km, sum(CASE WHEN i IN (SELECT i FROM hi) THEN coalesce(step, 0) ELSE 0 END) / 1000 AS flagged_km,
+         (SELECT count(*) FROM fl WHERE fl.line = sv.line AND i_start IS NOT NULL) AS n_flags FROM sv GROUP BY line, line_type))"""
+
+
 def oracle_sql() -> dict:
-    return ingest.oracle_sql() | gridded.oracle_sql() | {
+    near = lambda *names: ", ".join(f"round({c} + 3e-7, 4) AS {c}" for c in names)
+    clock = lambda c: f"coalesce(strftime({c}, '%H:%M:%S'), '')"
+    signif = lambda c: f"CASE WHEN {c} = 0 THEN 0.0 ELSE round_even({c} * pow(10.0::DOUBLE, 2 - floor(log10(abs({c})))), 0) / pow(10.0::DOUBLE, 2 - floor(log10(abs({c})))) END"
+    label = "CASE \"check\" " + " ".join(f"WHEN '{c}' THEN '{name}'" for c, name in qc.CHECKS) + " END"
+    base = EVENTS + PLACED
+    crossed = base + S.crossings("sl")
+    dense = DENSE_LINES + S.segments(DENSE.max_gap, "sl") + S.spikes(DENSE.spike_window, DENSE.spike_nsigma)
+    run = _qc()
+    coefficients = 'SELECT line, "order", n_crossovers, round(c0 + 3e-7, 4) AS c0, round(c1 + 3e-9, 6) AS c1 FROM co'
+    more = {
+        "check_sample_interval": _all_columns(base, _gap_flags(SPEC, "sl")),
+        "check_along_line_spacing": _all_columns(base, _spacing_flags(SPEC, "sl")),
+        "check_line_deviation": _all_columns(base + _offsets("sl"), _deviation_flags()),
+        "check_line_deviation_plan": _all_columns(base + _offsets("sl", True), _deviation_flags()),
+        "metric_line_deviation_plan": base + _offsets("sl", True) + f" SELECT '95th pct departure (m)' AS label, round(quantile_cont(abs(dev), 0.95) + 3e-7, 4) AS value, {SPEC.max_deviation}::DOUBLE AS threshold, 'zero-length plan segment for ' || (SELECT string_agg(line, ', ' ORDER BY line) FROM af WHERE bad) || '; best-fit line used there' AS note FROM od",
+        "check_line_separation": _all_columns(base + _separation("sl"), _separation_flags()),
+        "check_clearance": _all_columns(base + _clearance("sl"), _clearance_flags()),
+        "spike_detect": dense + f" SELECT line, seq, seg, {near('amplitude', 'z', 'cleaned')} FROM sp WHERE amplitude IS NOT NULL",
+        "check_spikes": _all_columns(dense, _spike_flags(DENSE)),
+        "check_fourth_difference": _all_columns(dense + _noise(DENSE), _noise_flags(DENSE)),
+        "check_diurnal": _all_columns(base + BASE + _CHORDS + _storm(STORM, "sl"), *_storm_flags(STORM)),
+        "crossovers": crossed + f" SELECT * EXCLUDE (fid) REPLACE ({near('x', 'y', 'lon', 'lat', 'mag_traverse', 'mag_tie', 'misfit', 'alt_traverse', 'alt_tie')}, epoch_us(time) AS time) FROM xo",
+        "check_crossovers": _all_columns(crossed, S.crossover_flags(SPEC.max_crossover_abs)),
+        "by_heading": crossed + S.headings(SPEC.line_azimuth, "sl") + f" SELECT forward, n, {near('mean_misfit')}, heading FROM hb",
+        "check_heading_error": _all_columns(crossed + S.headings(SPEC.line_azimuth, "sl"), S.heading_flags(SPEC.max_heading_error, "sl")),
+        "level_ties_constant": crossed + S.levelled("constant", "sl") + coefficients,
+        "level_ties_linear": crossed + S.levelled("linear", "sl") + coefficients,
+        "check_levelling_residual": _all_columns(crossed + S.levelled("linear", "sl"), S.residual_flags(SPEC.max_levelled_abs)),
+        "scorecard": run + f" SELECT * REPLACE ({near('metric', 'threshold', 'pct_samples')}) FROM ca",
+        "lines": run + f" SELECT * REPLACE ({near('length_km', 'flagged_km')}, epoch_us(start) AS start, epoch_us(\"end\") AS \"end\") FROM li",
+        "flag_table": run + f" SELECT {label} AS \"check\", coalesce(line, 'survey-wide') AS line, {clock('time_start')} AS start, {clock('time_end')} AS \"end\", CASE WHEN fid_start IS NULL THEN '' WHEN fid_start = fid_end THEN fid_start::BIGINT::VARCHAR ELSE fid_start::BIGINT || '-' || fid_end::BIGINT END AS fid, {signif('value')} AS value, {signif('threshold')} AS \"limit\", units, description AS finding FROM fl",
+        "survey_stats": run + f""", a AS (SELECT count(*) AS n_samples, min(time) AS start, max(time) AS fin, (epoch_us(max(time)) - epoch_us(min(time))) / 3.6e9 AS duration_h FROM sv),
+lk AS (SELECT count(*) AS n_lines, count(*) FILTER (line_type = 'traverse') AS n_traverse, count(*) FILTER (line_type = 'tie') AS n_tie, sum(length_km) AS line_km, sum(length_km) FILTER (line_type = 'traverse') AS traverse_km, sum(length_km) FILTER (line_type = 'tie') AS tie_km, sum(flagged_km) AS flagged_km FROM li)
+SELECT n_samples, epoch_us(start) AS start, epoch_us(fin) AS "end", {near('duration_h', 'line_km', 'traverse_km', 'tie_km', 'flagged_km')}, true AS has_lonlat, n_lines, n_traverse, n_tie, (SELECT count(*) FROM ca WHERE status = 'pass') AS checks_passed, (SELECT count(*) FROM ca WHERE status = 'fail') AS checks_failed,
+       (SELECT count(*) FROM ca WHERE status <> 'n/a') AS checks_total, (SELECT count(*) FROM fl) AS n_flags, (SELECT count(*) FROM xo) AS n_crossovers, round(100 * (1 - flagged_km / line_km) + 3e-7, 4) AS accepted_pct, true AS diurnal_corrected FROM a, lk""",
+    }
+    return more | ingest.oracle_sql() | gridded.oracle_sql() | {
         "as_survey": EVENTS + "SELECT line, line_type, fid, seq, i, round(x, 5) AS x, round(y, 5) AS y, mag, round(radar_alt, 5) AS radar_alt FROM s",
         "enu_lonlat": EVENTS
         + """, p AS (SELECT *, 40 + y / (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(40)) + 1.175::DOUBLE * cos(4 * radians(40)) - 0.0023::DOUBLE * cos(6 * radians(40))) AS la FROM s),
@@ -229,21 +424,8 @@ SELECT line, seq, round(CASE WHEN n < 3 THEN mag WHEN n >= 21 THEN coalesce(whol
 FROM b WINDOW u AS (PARTITION BY line ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
         "running_max": LINEITEM + "SELECT line, seq, round(max(mag) OVER w, 5) AS most FROM s WINDOW w AS (PARTITION BY line ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)",
         "line_stats": EVENTS + "SELECT line, line_type, count(*) AS n, round(sum(step), 5) AS length, round(median(mag), 5) AS median_mag, round(quantile_cont(mag, 0.95), 5) AS p95, round(sqrt(avg(step * step)), 5) AS rms_step FROM s GROUP BY line, line_type",
-        "check_sample_interval": EVENTS
-        + f""", p AS (SELECT *, lag(i) OVER w AS pi, lag(x) OVER w AS px, lag(y) OVER w AS py FROM s WINDOW w AS (PARTITION BY line ORDER BY seq))
-SELECT line, pi AS i_start, i AS i_end, round((px + x) / 2, 5) AS x, round((py + y) / 2, 5) AS y, round(dt, 5) AS value, {SPEC.max_gap}::DOUBLE AS threshold FROM p WHERE dt > {SPEC.max_gap}""",
         "metric_sample_interval": EVENTS + f"SELECT round(greatest(max(dt), 0), 5) AS value, {SPEC.max_gap}::DOUBLE AS threshold FROM s",
-        "check_along_line_spacing": EVENTS
-        + f""", p AS (SELECT *, lag(i) OVER w AS pi, lag(x) OVER w AS px, lag(y) OVER w AS py, coalesce(dt <= {SPEC.max_gap} AND step > {SPEC.max_along_line_sep}, false) AS mark FROM s WINDOW w AS (PARTITION BY line ORDER BY seq)),
-g AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY seq) - row_number() OVER (PARTITION BY line, mark ORDER BY seq) AS run FROM p)
-SELECT line, arg_min(pi, seq) AS i_start, arg_max(i, seq) AS i_end, round((arg_min(px, seq) + arg_max(x, seq)) / 2, 5) AS x, round((arg_min(py, seq) + arg_max(y, seq)) / 2, 5) AS y,
-       round(max(step), 5) AS value, {SPEC.max_along_line_sep}::DOUBLE AS threshold FROM g WHERE mark GROUP BY line, run""",
-        "check_line_deviation": EVENTS + OFFSETS + _runs_sql(f"abs(dev) > {SPEC.max_deviation}", "max(abs(dev))", f"{SPEC.max_deviation}", "o"),
         "metric_line_deviation": EVENTS + OFFSETS + f"SELECT round(quantile_cont(abs(dev), 0.95), 5) AS value, {SPEC.max_deviation}::DOUBLE AS threshold FROM o",
-        "check_line_separation": EVENTS
-        + f""", c AS (SELECT line, avg(x) AS across FROM s WHERE line_type = 'traverse' GROUP BY line), p AS (SELECT lag(line) OVER w || ' / ' || line AS line, across - lag(across) OVER w AS value FROM c WINDOW w AS (ORDER BY across, line))
-SELECT line, round(value, 5) AS value, {SPEC.line_spacing}::DOUBLE AS threshold FROM p WHERE abs((value - {SPEC.line_spacing}) / {SPEC.line_spacing} * 100) > {SPEC.line_spacing_tol * 100}""",
-        "check_clearance": EVENTS + _runs_sql(f"abs(radar_alt - {SPEC.nominal_clearance}) > {SPEC.clearance_tol}", f"arg_max(radar_alt - {SPEC.nominal_clearance}, (abs(radar_alt - {SPEC.nominal_clearance}), -seq))", f"{SPEC.clearance_tol}"),
         "metric_clearance": EVENTS + f"SELECT round(quantile_cont(abs(radar_alt - {SPEC.nominal_clearance}), 0.95), 5) AS value, {SPEC.clearance_tol}::DOUBLE AS threshold FROM s",
         "diurnal_correction": EVENTS
         + BASE
