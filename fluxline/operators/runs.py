@@ -83,6 +83,14 @@ def running(f, value: Column, keys: list[str], order: str, k: int) -> Column:
     return f(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(k // 2), k // 2))
 
 
+def running_mean(value: Column, keys: list[str], order: str, k: int) -> Column:
+    """Mean of (k - 1) // 2 rows on either side; the value itself in groups of fewer than k rows; null if a row of the frame has no value."""
+    h = (k - 1) // 2
+    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(-h, h)
+    short = F.count("*").over(Window.partitionBy(*keys)) < k
+    return F.when(short, value).when(F.count(value).over(frame) == F.count("*").over(frame), F.avg(value).over(frame))
+
+
 def fourth_difference(value: Column, window, n: Column, normalize: bool = True) -> Column:
     """v[-2] - 4 v[-1] + 6 v - 4 v[1] + v[2], over 16 if normalized; null at two rows of either end and in segments under 5 rows."""
     at = lambda d: F.lag(value, d).over(window) if d > 0 else F.lead(value, -d).over(window)

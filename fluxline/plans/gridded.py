@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid
 from . import adapters as A
+from . import figures
 
 CELL, RADIUS, BLANK = 60.0, 130.0, 100.0
 
@@ -40,8 +41,12 @@ def bilinear_at(spark, sf_dir):
     return _rounded(grid.bilinear_at(grid.idw(nodes, RADIUS, at), points, at).select("line", "seq", "fit"), "fit")
 
 
+def grid_classes(spark, sf_dir):
+    return figures.grid_classes(_nodes(spark, sf_dir)[2].withColumn("v", F.round("v", 3)), 16).select("ix", "iy", "class")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (bin_plane, dilate_mask, idw_grid, bilinear_at)}
+    return {f.__name__: f for f in (bin_plane, dilate_mask, idw_grid, bilinear_at, grid_classes)}
 
 
 NODES = f"""WITH s AS (
@@ -72,6 +77,9 @@ def oracle_sql() -> dict:
         "bin_plane": NODES + "SELECT ix, iy, round(v + 3e-7, 4) AS v, n FROM n",
         "dilate_mask": NODES + _dilated("SELECT ix, iy FROM n WHERE n % 2 = 0", 1),
         "idw_grid": NODES + IDW + f"SELECT z.ix, z.iy, round(z.v + 3e-7, 4) AS v FROM z JOIN ({_dilated('SELECT ix, iy FROM n', 2)}) d ON z.ix = d.ix AND z.iy = d.iy",
+        "grid_classes": NODES
+        + """, r AS (SELECT ix, iy, round(v, 3) AS v FROM n), k AS (SELECT list_sort(list_distinct(quantile_cont(v, list_transform(range(17), lambda i: i / 16)))) AS cuts FROM r)
+SELECT ix, iy, (round_even((greatest(1, least(len(cuts) - 1, len(list_filter(cuts, lambda c: c <= v)))) - 1) / (len(cuts) - 2 + 1e-9::DOUBLE) * 15, 0) + 1)::INT AS class FROM r, k""",
         "bilinear_at": NODES
         + IDW
         + f""", p AS (SELECT *, fx - i AS t, fy - j AS s FROM (SELECT *, least(floor(fx), nx - 2)::INT AS i, least(floor(fy), ny - 2)::INT AS j FROM (SELECT line, seq, (x - x0) / {CELL}::DOUBLE AS fx, (y - y0) / {CELL}::DOUBLE AS fy, nx, ny FROM s, f WHERE seq % 10 = 0)))

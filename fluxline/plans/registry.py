@@ -13,7 +13,7 @@ from ..operators.survey import with_segments, with_steps
 from ..spec import SurveySpec
 from . import adapters as A
 from . import crossing_sql as S
-from . import gridded, ingest, qc
+from . import figures, gridded, ingest, qc
 
 #: Limits that make the driver's tables pass and fail in parts.
 SPEC = SurveySpec(max_gap=86400, max_along_line_sep=6.2, max_deviation=1.5, clearance_tol=15, line_spacing=210, line_spacing_tol=0.04, max_diurnal_dev=60, diurnal_window=4 * 3600, max_crossover_abs=200, max_crossover_rms=150, max_heading_error=0.5, max_levelled_abs=150, max_levelled_rms=100, fourth_diff_tol=20)
@@ -178,8 +178,43 @@ def survey_stats(spark, sf_dir):
     return df.withColumns(_near("line_km", "traverse_km", "tie_km", "flagged_km", "accepted_pct", "duration_h") | {c: F.unix_micros(c) for c in ("start", "end")})
 
 
+def running_mean(spark, sf_dir):
+    s = A.events_survey(spark, sf_dir)
+    return s.select("line", "seq", R.running_mean(F.col("mag"), ["line"], "seq", 60).alias("mean")).withColumns(_near("mean"))
+
+
+def decimated_traces(spark, sf_dir):
+    return figures.decimated(A.events_survey(spark, sf_dir), 5).select("line", "seq", figures.time_text(F.col("time")).alias("time"), F.round(F.col("mag") + 3e-7, 2).alias("mag"))
+
+
+def clearance_rows(spark, sf_dir):
+    s = A.events_survey(spark, sf_dir)
+    return figures.clearance_rows(s, K.clearance(s, SPEC).flags).withColumn("value", F.round(F.col("value") + 3e-7, 1)).select("line", "seq", "flagged")
+
+
+def crossover_rows(spark, sf_dir):
+    s, x = _crossings(spark, sf_dir)
+    return figures.crossover_rows(s, X.level_ties(s, x, "linear")[2], SPEC).withColumns(_near("misfit", "misfit_after"))
+
+
+def line_profile(spark, sf_dir):
+    s = A.events_survey(spark, sf_dir)
+    noise = K.noise_series(s, SPEC).select("line", "seq", "d4")
+    return figures.line_profile(s, noise, K.clearance(s, SPEC).flags, "L7").withColumns(_near("along", "mag", "radar_alt")).drop("d4", "mag_lev")
+
+
+def geometry(spark, sf_dir):
+    """Where neighbouring samples' lines meet the base line, distances to it, a dipole's field and hhmmss texts."""
+    s = A.events_survey(spark, sf_dir)
+    x, y = F.col("x"), F.col("y")
+    px, py = G.intersection(x, y, F.lit(1.0), F.lit(2.0), F.lit(0.0), F.lit(10.0), F.lit(1.0), F.lit(0.5))
+    far = G.point_line_distance(x, y, F.lit(0.0), F.lit(0.0), F.lit(300.0), F.lit(400.0))
+    dipole = G.dipole_anomaly(x - 15000, y - 100, F.lit(200.0), F.lit(1e9), 60.0, 20.0)
+    return s.select("line", "seq", px.alias("px"), py.alias("py"), far.alias("far"), dipole.alias("dipole"), G.hms(F.col("seq") * 1000.256).alias("hms")).withColumns(_near("px", "py", "far", "dipole"))
+
+
 def queries() -> dict:
-    plain = [as_survey, enu_lonlat, step_bearing, segments, runs, fourth_difference, running_median, running_max, line_stats, diurnal_correction, diurnal_chord, check_diurnal, check_line_deviation_plan, metric_line_deviation_plan, crossovers, check_crossovers, check_heading_error, by_heading, spike_detect, scorecard, flag_table, lines, survey_stats]
+    plain = [running_mean, decimated_traces, clearance_rows, crossover_rows, line_profile, geometry, as_survey, enu_lonlat, step_bearing, segments, runs, fourth_difference, running_median, running_max, line_stats, diurnal_correction, diurnal_chord, check_diurnal, check_line_deviation_plan, metric_line_deviation_plan, crossovers, check_crossovers, check_heading_error, by_heading, spike_detect, scorecard, flag_table, lines, survey_stats]
     return {f.__name__: f for f in plain} | {
         "check_sample_interval": _check(K.sample_interval),
         "metric_sample_interval": _check(K.sample_interval, _metric),
@@ -380,6 +415,14 @@ def oracle_sql() -> dict:
         "metric_line_deviation_plan": base + _offsets("sl", True) + f" SELECT '95th pct departure (m)' AS label, round(quantile_cont(abs(dev), 0.95) + 3e-7, 4) AS value, {SPEC.max_deviation}::DOUBLE AS threshold, 'zero-length plan segment for ' || (SELECT string_agg(line, ', ' ORDER BY line) FROM af WHERE bad) || '; best-fit line used there' AS note FROM od",
         "check_line_separation": _all_columns(base + _separation("sl"), _separation_flags()),
         "check_clearance": _all_columns(base + _clearance("sl"), _clearance_flags()),
+        "running_mean": EVENTS + " SELECT line, seq, round(CASE WHEN count(*) OVER (PARTITION BY line) < 60 THEN mag ELSE avg(mag) OVER w END + 3e-7, 4) AS mean FROM s WINDOW w AS (PARTITION BY line ORDER BY seq ROWS BETWEEN 29 PRECEDING AND 29 FOLLOWING)",
+        "decimated_traces": EVENTS + " SELECT line, seq, strftime(time, '%Y-%m-%d %H:%M:%S.') || (epoch_us(time) // 100000 % 10) AS time, round(mag + 3e-7, 2) AS mag FROM (SELECT *, max(seq) OVER (PARTITION BY line) AS last FROM s) WHERE (seq - 1) % 5 = 0 OR seq = last",
+        "clearance_rows": EVENTS + f" SELECT line, seq, abs(radar_alt - {SPEC.nominal_clearance}) > {SPEC.clearance_tol} AS flagged FROM (SELECT *, max(seq) OVER (PARTITION BY line) AS last FROM s) WHERE (seq - 1) % 5 = 0 OR seq = last OR abs(radar_alt - {SPEC.nominal_clearance}) > {SPEC.clearance_tol}",
+        "crossover_rows": crossed + S.levelled("linear", "sl") + S.headings(SPEC.line_azimuth, "sl") + f" SELECT row_number() OVER (ORDER BY traverse, tie) AS id, traverse || ' x ' || tie AS label, (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[1 + (round_even(((degrees(hf.r) % 360 + 360) % 360) / 45, 0)::INT % 8)] || '-bound' AS heading, {near('misfit', 'misfit_after')} FROM xl JOIN hf ON hf.line = xl.traverse",
+        "line_profile": EVENTS + f" SELECT seq, fid, strftime(time, '%H:%M:%S') AS time, round(sum(coalesce(step, 0)) OVER (ORDER BY seq) + 3e-7, 4) AS along, {near('mag', 'radar_alt')}, abs(radar_alt - {SPEC.nominal_clearance}) > {SPEC.clearance_tol} AS flagged FROM s WHERE line = 'L7'",
+        "geometry": EVENTS + f""", g AS (SELECT line, seq, x + ((0 - x) * 0.5 - (10 - y) * 1) / (1 * 0.5 - 2 * 1)::DOUBLE AS px, y + 2 * ((0 - x) * 0.5 - (10 - y) * 1) / (1 * 0.5 - 2 * 1)::DOUBLE AS py, abs(300 * (0 - y) - (0 - x) * 400) / 500::DOUBLE AS far,
+  1e9::DOUBLE * (3 * (cos(radians(60)) * sin(radians(20)) * (x - 15000) + cos(radians(60)) * cos(radians(20)) * (y - 100) - sin(radians(60)) * 200) ** 2 / pow((x - 15000) ** 2 + (y - 100) ** 2 + 40000, 2.5) - 1 / pow((x - 15000) ** 2 + (y - 100) ** 2 + 40000, 1.5)) AS dipole, round_even(seq * 100025.6::DOUBLE, 0)::BIGINT AS u FROM s)
+SELECT line, seq, {near('px', 'py', 'far', 'dipole')}, lpad((u // 360000 % 24)::VARCHAR, 2, '0') || lpad((u // 6000 % 60)::VARCHAR, 2, '0') || lpad((u // 100 % 60)::VARCHAR, 2, '0') || '.' || lpad((u % 100)::VARCHAR, 2, '0') AS hms FROM g""",
         "spike_detect": dense + f" SELECT line, seq, seg, {near('amplitude', 'z', 'cleaned')} FROM sp WHERE amplitude IS NOT NULL",
         "check_spikes": _all_columns(dense, _spike_flags(DENSE)),
         "check_fourth_difference": _all_columns(dense + _noise(DENSE), _noise_flags(DENSE)),
