@@ -74,7 +74,7 @@ def test_damage_is_as_dealt(spark):
     import zlib
 
     rows = [(c, t, "assistant", "A! B? c.") for c in range(40) for t in range(5)]
-    got = {(r.conv_id, r.turn): r.copies for r in repair.damage(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).selectExpr("conv_id", "copies", "copies[0].turn AS turn").collect()}
+    got = {(r.conv_id, r.turn): r.copies for r in repair.damage(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).selectExpr("conv_id", "copies", "get(copies, 0).turn AS turn").collect()}
     for c, t, role, text in rows:
         kind = zlib.crc32(f"{c}:{t}".encode()) % 20
         want = [("user" if kind == 4 else role, {1: "", 2: "A B c"}.get(kind, text))] * {0: 0, 3: 2}.get(kind, 1)
