@@ -13,7 +13,7 @@ from ..operators.survey import with_segments, with_steps
 from ..spec import SurveySpec
 from . import adapters as A
 from . import crossing_sql as S
-from . import figures, gridded, ingest, qc
+from . import figures, flights, gridded, ingest, qc
 
 #: Limits that make the driver's tables pass and fail in parts.
 SPEC = SurveySpec(max_gap=86400, max_along_line_sep=6.2, max_deviation=1.5, clearance_tol=15, line_spacing=210, line_spacing_tol=0.04, max_diurnal_dev=60, diurnal_window=4 * 3600, max_crossover_abs=200, max_crossover_rms=150, max_heading_error=0.5, max_levelled_abs=150, max_levelled_rms=100, fourth_diff_tol=20)
@@ -229,7 +229,7 @@ def queries() -> dict:
         "level_ties_constant": _level("constant", "coefficients"),
         "level_ties_linear": _level("linear", "coefficients"),
         "check_levelling_residual": _level("linear", "flags"),
-    } | ingest.queries() | gridded.queries()
+    } | ingest.queries() | gridded.queries() | flights.queries()
 
 
 EVENTS = """
@@ -442,7 +442,7 @@ lk AS (SELECT count(*) AS n_lines, count(*) FILTER (line_type = 'traverse') AS n
 SELECT n_samples, epoch_us(start) AS start, epoch_us(fin) AS "end", {near('duration_h', 'line_km', 'traverse_km', 'tie_km', 'flagged_km')}, true AS has_lonlat, n_lines, n_traverse, n_tie, (SELECT count(*) FROM ca WHERE status = 'pass') AS checks_passed, (SELECT count(*) FROM ca WHERE status = 'fail') AS checks_failed,
        (SELECT count(*) FROM ca WHERE status <> 'n/a') AS checks_total, (SELECT count(*) FROM fl) AS n_flags, (SELECT count(*) FROM xo) AS n_crossovers, round(100 * (1 - flagged_km / line_km) + 3e-7, 4) AS accepted_pct, true AS diurnal_corrected FROM a, lk""",
     }
-    return more | ingest.oracle_sql() | gridded.oracle_sql() | {
+    return more | ingest.oracle_sql() | gridded.oracle_sql() | flights.oracle_sql() | {
         "as_survey": EVENTS + "SELECT line, line_type, fid, seq, i, round(x, 5) AS x, round(y, 5) AS y, mag, round(radar_alt, 5) AS radar_alt FROM s",
         "enu_lonlat": EVENTS
         + """, p AS (SELECT *, 40 + y / (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(40)) + 1.175::DOUBLE * cos(4 * radians(40)) - 0.0023::DOUBLE * cos(6 * radians(40))) AS la FROM s),
