@@ -24,6 +24,7 @@ import json
 import os
 import zlib
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ SIDE = 1 << 24
 #: Characters for one task, and the most tasks that are asked for by it.
 CHARS, TASKS = 3_000_000, 20_000
 #: Most frequent segments whose results are broadcast (some 200 bytes each); documents join all others by a shuffle.
-HOT = 150_000
+HOT = 250_000
 #: Where a text may be split, for Spark and for the check of B's pieces.
 SPLIT, JOINED = r"(?<=[\p{L}\p{N}\x21-\x7E])(?=[ \n])", r"[\p{L}\p{N}\x21-\x7E]▁|\n"
 #: Pairs of ids up to which their counts are broadcast (some 50 bytes each); more are joined by a shuffle of (text, pair).
@@ -70,6 +71,7 @@ class ByteLevel:
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.widths = np.array([len(b) for b in self.bytes])
 
     def separable(self) -> bool:
         """Whether its pattern starts a new word at every white space after something else."""
@@ -90,6 +92,7 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_proto=file)
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.model.id_to_piece(i)) for i in range(self.model.vocab_size()))]
+        self.widths = np.array([len(b) for b in self.bytes])
 
     def separable(self) -> bool:
         """Whether no piece holds a place where texts are split."""
@@ -116,15 +119,22 @@ class Both:
         return _loaded[key]
 
     def __call__(self, texts: list[bytes]) -> pa.Array:
-        sides = self.sides()
-        coded = [s([t.decode(errors="replace") for t in texts]) for s in sides]
-        parts, ends = [], [0]
-        for text, a, b in zip(texts, *coded):
-            good = all(b"".join(map(s.bytes.__getitem__, ids)) == text for s, ids in zip(sides, (a, b)))
-            if good:
-                parts += [np.array(a, np.int32), np.array(b, np.int32) + SIDE]
-            ends.append(ends[-1] + (len(a) + len(b) if good else 0))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        """Sides are checked for a batch as a whole, and segment by segment only where that fails."""
+        sides, plain = self.sides(), [t.decode(errors="replace") for t in texts]
+        coded = [s(plain) for s in sides]
+        size = np.array([len(t) for t in texts])
+        good = np.ones(len(texts), bool)
+        for side, ids in zip(sides, coded):
+            flat = list(chain.from_iterable(ids))
+            ends = np.cumsum([0, *map(len, ids)])
+            widths = np.concatenate([[0], np.cumsum(side.widths[flat])])
+            if b"".join(map(side.bytes.__getitem__, flat)) != b"".join(texts) or not np.array_equal(np.diff(widths[ends]), size):
+                good &= [b"".join(map(side.bytes.__getitem__, i)) == t for i, t in zip(ids, texts)]
+        a, b = ([i if g else [] for i, g in zip(ids, good)] for ids in coded)
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(zip(a, b))), np.int32)
+        counts = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int32).reshape(-1, 2)
+        flat += np.repeat(np.tile(np.array([0, SIDE], np.int32), len(texts)), counts.ravel())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts.sum(1))]), pa.int32()), pa.array(flat))
 
 
 @contextmanager
@@ -257,41 +267,46 @@ def lexicon(docs: DataFrame, split: bool) -> DataFrame:
     distinct = C.cut(_hashed(distinct, "text", "t1", "t2"))
     with _settings(spark, STREAMED):
         words = C.cut(align(distinct))
+    cuts = [distinct, words]
     words = _without_misspelt(docs, distinct, words, split)
     counts = C.cut(pair_counts(words))
     rows = words.select("t1", "t2", F.explode("pairs").alias("pair"))
     rows = rows.join(F.broadcast(counts), "pair") if counts.count() <= PAIRS else rows.join(counts, "pair")
     sums = rows.groupBy("t1", "t2").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     links = F.size("pairs").cast("long").alias("n_links")
-    out = C.cut(words.select("t1", "t2", "copies", "n_a", "n_b", "n_groups", links, "groups").join(sums, ["t1", "t2"]).select(F.col("t1").alias("s1"), F.col("t2").alias("s2"), "copies", *SUMS, "groups"))
+    whole = words.select("t1", "t2", "copies", "n_a", "n_b", "n_groups", links, "groups").join(sums, ["t1", "t2"])
+    out = C.cut(whole.select(F.col("t1").alias("s1"), F.col("t2").alias("s2"), "copies", *SUMS, "groups"))
+    C.free(*cuts)
     return out
 
 
-def alignment(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row of docs (doc_id, text); groups is `a1,a2|b1;a3|b2,b3`."""
+def alignment(docs: DataFrame, shown=lambda groups: groups) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row of docs (doc_id, text); groups is `a1,a2|b1;a3|b2,b3`, or what shown
+    makes of that column (a digest, say, so that less travels), and empty without tokens."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", C.text_of(docs).alias("text"))
     split = separable(spark)
     found = lexicon(docs, split)
-    hot = F.broadcast(found.orderBy(F.desc("copies")).limit(HOT).select("s1", "s2", *SUMS, "groups"))
+    hot = F.broadcast(C.cut(found.orderBy(F.desc("copies")).limit(HOT).select("s1", "s2", *SUMS, "groups")))
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0]
     docs = _hashed(docs, "text", "t1", "t2")
-    texts = docs.filter("text <> ''").select("t1", "t2", "text").repartition(_tasks(spark, chars), "t1", "t2").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    n = _tasks(spark, chars)
+    texts = docs.filter("text <> ''").select("t1", "t2", "text").repartition(n, "t1", "t2").groupBy("t1", "t2").agg(F.first("text").alias("text"))
     rows = _hashed(texts.select("t1", "t2", F.posexplode(segments(F.col("text"), split)).alias("pos", "segment")), "segment", "s1", "s2").drop("segment")
     rows = rows.join(hot, ["s1", "s2"], "left")
     one = F.struct("pos", "groups")
     sums = [F.sum(c).alias(c) for c in SUMS]
     often = rows.groupBy("t1", "t2").agg(*sums, F.collect_list(F.when(F.col("groups").isNotNull(), one)).alias("some"))
-    rare = rows.filter("groups IS NULL").select("t1", "t2", "pos", "s1", "s2").join(found, ["s1", "s2"], "left")
-    rare = rare.groupBy("t1", "t2").agg(*(F.sum(c).alias(f"rare_{c}") for c in SUMS), F.collect_list(one).alias("rest"), F.max(F.col("groups").isNull()).alias("misspelt"))
+    rare = rows.filter("groups IS NULL").select("t1", "t2", "pos", "s1", "s2").join(found, ["s1", "s2"], "left").drop("s1", "s2", "copies")
+    rare = rare.repartition(n, "t1", "t2").groupBy("t1", "t2").agg(*(F.sum(c).alias(f"rare_{c}") for c in SUMS), F.collect_list(one).alias("rest"), F.max(F.col("groups").isNull()).alias("misspelt"))
     none = F.array().cast("array<struct<pos:int,groups:string>>")
     groups = F.array_join(F.transform(F.array_sort(F.concat("some", F.coalesce("rest", none))), lambda g: g["groups"]), ";")
     total = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"rare_{c}", F.lit(0))).alias(c) for c in SUMS]
-    whole = often.join(rare, ["t1", "t2"], "left").filter(~F.coalesce("misspelt", F.lit(False))).select("t1", "t2", *total, groups.alias("groups"))
+    whole = often.join(rare, ["t1", "t2"], "left").filter(~F.coalesce("misspelt", F.lit(False))).select("t1", "t2", *total, shown(groups).alias("groups"))
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SUMS]
     return docs.select("doc_id", "t1", "t2").join(whole, ["t1", "t2"], "left").select("doc_id", *zero, F.coalesce("groups", F.lit("")).alias("groups"))
 
 
 def op12_tokenizer_alignment(spark, sf_dir: str) -> DataFrame:
-    done = alignment(C.table(spark, sf_dir, "documents"))
-    return done.select("doc_id", *SUMS, F.when(F.col("groups") != "", F.sha2(F.encode("groups", "UTF-8"), 256)).otherwise("").alias("groups_sha256"))
+    done = alignment(C.table(spark, sf_dir, "documents"), lambda groups: F.sha2(F.encode(groups, "UTF-8"), 256))
+    return done.withColumnRenamed("groups", "groups_sha256")
