@@ -40,8 +40,8 @@ FILES = {"a": "/opt/tokenizers/byte_bpe_50k.json", "b": "/opt/tokenizers/piece_b
 SIDE = 1 << 24
 #: Characters for one task, and the most tasks that are asked for by it.
 CHARS, TASKS = 3_000_000, 20_000
-#: Most frequent segments whose results are broadcast (some 200 bytes each); documents join all others by a shuffle.
-HOT = 250_000
+#: Most segments whose results are broadcast, the most frequent ones (some 200 bytes each); documents join all others by a shuffle.
+HOT = 300_000
 #: Where a text may be split, for Spark and for the check of B's pieces.
 SPLIT, JOINED = r"(?<=[\p{L}\p{N}\x21-\x7E])(?=[ \n])", r"[\p{L}\p{N}\x21-\x7E]▁|\n"
 #: Pairs of ids up to which their counts are broadcast (some 50 bytes each); more are joined by a shuffle of (text, pair).
@@ -287,7 +287,10 @@ def alignment(docs: DataFrame, shown=lambda groups: groups) -> DataFrame:
     docs = docs.select("doc_id", C.text_of(docs).alias("text"))
     split = separable(spark)
     found = lexicon(docs, split)
-    hot = F.broadcast(C.cut(found.orderBy(F.desc("copies")).limit(HOT).select("s1", "s2", *SUMS, "groups")))
+    # the least count that at most HOT segments reach; a row a count goes through one task
+    reached = found.groupBy("copies").count().withColumn("segments", F.sum("count").over(Window.orderBy(F.desc("copies"))))
+    least = reached.filter(F.col("segments") <= HOT).agg(F.min("copies")).first()[0]
+    hot = F.broadcast(found.filter(F.col("copies") >= (1 << 62 if least is None else least)).select("s1", "s2", *SUMS, "groups"))
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0]
     docs = _hashed(docs, "text", "t1", "t2")
     n = _tasks(spark, chars)
@@ -297,12 +300,16 @@ def alignment(docs: DataFrame, shown=lambda groups: groups) -> DataFrame:
     one = F.struct("pos", "groups")
     sums = [F.sum(c).alias(c) for c in SUMS]
     often = rows.groupBy("t1", "t2").agg(*sums, F.collect_list(F.when(F.col("groups").isNotNull(), one)).alias("some"))
-    rare = rows.filter("groups IS NULL").select("t1", "t2", "pos", "s1", "s2").join(found, ["s1", "s2"], "left").drop("s1", "s2", "copies")
-    rare = rare.repartition(n, "t1", "t2").groupBy("t1", "t2").agg(*(F.sum(c).alias(f"rare_{c}") for c in SUMS), F.collect_list(one).alias("rest"), F.max(F.col("groups").isNull()).alias("misspelt"))
+    rare = rows.filter("groups IS NULL").select("t1", "t2", "pos", "s1", "s2").join(found, ["s1", "s2"], "left")
+    rare = rare.groupBy("t1", "t2").agg(*(F.sum(c).alias(f"rare_{c}") for c in SUMS), F.collect_list(one).alias("rest"), F.max(F.col("groups").isNull()).alias("misspelt"))
     none = F.array().cast("array<struct<pos:int,groups:string>>")
     groups = F.array_join(F.transform(F.array_sort(F.concat("some", F.coalesce("rest", none))), lambda g: g["groups"]), ";")
     total = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"rare_{c}", F.lit(0))).alias(c) for c in SUMS]
     whole = often.join(rare, ["t1", "t2"], "left").filter(~F.coalesce("misspelt", F.lit(False))).select("t1", "t2", *total, shown(groups).alias("groups"))
+    # as many partitions as texts are dealt to, so that what comes from rare segments meets them without another shuffle
+    with _settings(spark, TABLED | {"spark.sql.shuffle.partitions": str(n)}):
+        whole = C.cut(whole)
+    C.free(found)
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SUMS]
     return docs.select("doc_id", "t1", "t2").join(whole, ["t1", "t2"], "left").select("doc_id", *zero, F.coalesce("groups", F.lit("")).alias("groups"))
 
