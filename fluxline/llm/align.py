@@ -41,7 +41,7 @@ SIDE = 1 << 24
 #: Characters for one task, and the most tasks that are asked for by it.
 CHARS, TASKS = 3_000_000, 20_000
 #: Most segments whose results are broadcast, the most frequent ones (some 200 bytes each); documents join all others by a shuffle.
-HOT = 300_000
+HOT = 450_000
 #: Where a text may be split, for Spark and for the check of B's pieces.
 SPLIT, JOINED = r"(?<=[\p{L}\p{N}\x21-\x7E])(?=[ \n])", r"[\p{L}\p{N}\x21-\x7E]▁|\n"
 #: Pairs of ids up to which their counts are broadcast (some 50 bytes each); more are joined by a shuffle of (text, pair).
@@ -257,7 +257,8 @@ def _without_misspelt(docs: DataFrame, distinct: DataFrame, words: DataFrame, sp
     return words.join(gone, ["t1", "t2"], "left").withColumn("copies", F.col("copies") - F.coalesce("gone", F.lit(0))).drop("gone")
 
 
-SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+#: What documents add up over their segments. Links are not among them: there is one for each distinct end, so n_a + n_b - n_groups.
+SUMS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 
 
 def lexicon(docs: DataFrame, split: bool) -> DataFrame:
@@ -273,8 +274,7 @@ def lexicon(docs: DataFrame, split: bool) -> DataFrame:
     rows = words.select("t1", "t2", F.explode("pairs").alias("pair"))
     rows = rows.join(F.broadcast(counts), "pair") if counts.count() <= PAIRS else rows.join(counts, "pair")
     sums = rows.groupBy("t1", "t2").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    links = F.size("pairs").cast("long").alias("n_links")
-    whole = words.select("t1", "t2", "copies", "n_a", "n_b", "n_groups", links, "groups").join(sums, ["t1", "t2"])
+    whole = words.select("t1", "t2", "copies", "n_a", "n_b", "n_groups", "groups").join(sums, ["t1", "t2"])
     out = C.cut(whole.select(F.col("t1").alias("s1"), F.col("t2").alias("s2"), "copies", *SUMS, "groups"))
     C.free(*cuts)
     return out
@@ -294,7 +294,7 @@ def alignment(docs: DataFrame, shown=lambda groups: groups) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0]
     docs = _hashed(docs, "text", "t1", "t2")
     n = _tasks(spark, chars)
-    texts = docs.filter("text <> ''").select("t1", "t2", "text").repartition(n, "t1", "t2").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = docs.filter("text <> ''").groupBy("t1", "t2").agg(F.first("text").alias("text"))  # copies meet before they are dealt
     rows = _hashed(texts.select("t1", "t2", F.posexplode(segments(F.col("text"), split)).alias("pos", "segment")), "segment", "s1", "s2").drop("segment")
     rows = rows.join(hot, ["s1", "s2"], "left")
     one = F.struct("pos", "groups")
@@ -306,12 +306,13 @@ def alignment(docs: DataFrame, shown=lambda groups: groups) -> DataFrame:
     groups = F.array_join(F.transform(F.array_sort(F.concat("some", F.coalesce("rest", none))), lambda g: g["groups"]), ";")
     total = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"rare_{c}", F.lit(0))).alias(c) for c in SUMS]
     whole = often.join(rare, ["t1", "t2"], "left").filter(~F.coalesce("misspelt", F.lit(False))).select("t1", "t2", *total, shown(groups).alias("groups"))
-    # as many partitions as texts are dealt to, so that what comes from rare segments meets them without another shuffle
-    with _settings(spark, TABLED | {"spark.sql.shuffle.partitions": str(n)}):
+    # texts and what comes from their rare segments are dealt alike, CHARS a task
+    with _settings(spark, TABLED | {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
         whole = C.cut(whole)
     C.free(found)
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in SUMS]
-    return docs.select("doc_id", "t1", "t2").join(whole, ["t1", "t2"], "left").select("doc_id", *zero, F.coalesce("groups", F.lit("")).alias("groups"))
+    done = docs.select("doc_id", "t1", "t2").join(whole, ["t1", "t2"], "left").select("doc_id", *zero, F.coalesce("groups", F.lit("")).alias("groups"))
+    return done.withColumn("n_links", F.col("n_a") + F.col("n_b") - F.col("n_groups"))
 
 
 def op12_tokenizer_alignment(spark, sf_dir: str) -> DataFrame:
