@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,36 +123,58 @@ def clearance(survey: DataFrame, spec: SurveySpec) -> CheckResult:
     return CheckResult(flags, metric(df, "95th pct |clearance error| (m)", F.percentile(F.abs("off"), 0.95), spec.clearance_tol, F.when(F.count("off") == 0, F.lit("no radar altitude"))))
 
 
+def _of_segment(mag: np.ndarray, k: int, sigmas: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, amplitudes and z of the spikes among the readings of one segment (NaN: missing)."""
+    n, known = len(mag), np.isfinite(mag)
+    if known.sum() < 7:
+        return np.zeros(0, int), np.zeros(0), np.zeros(0)
+    y = np.interp(np.arange(n), np.flatnonzero(known), mag[known])
+    straight_on = np.concatenate([y[0] + (y[0] - y[1]) * np.array([2, 1]), y, y[-1] + (y[-1] - y[-2]) * np.array([1, 2])])
+    d4 = np.diff(straight_on, 4)
+    size = np.abs(d4)
+    width = min(k, n - 1 + n % 2)
+    medians = np.median(np.lib.stride_tricks.sliding_window_view(size, width), axis=-1)
+    medians = np.pad(medians, (width // 2, n - len(medians) - width // 2), mode="edge")
+    highest = np.lib.stride_tricks.sliding_window_view(np.pad(medians, k // 2, constant_values=0), 2 * (k // 2) + 1).max(axis=-1)
+    floor = 0.5 * np.median(size)
+    z = d4 / np.maximum(1.4826 * highest, 1.4826 * floor if floor > 0 else np.finfo(float).eps)
+    hit = np.flatnonzero(known & (np.abs(z) > sigmas))
+    if not len(hit):
+        return hit, np.zeros(0), np.zeros(0)
+    # the largest of each run of neighbours, the first on ties
+    run = np.cumsum(np.diff(hit, prepend=hit[0]) > 1)
+    order = np.lexsort((hit, -size[hit], run))
+    at = hit[order[np.unique(run[order], return_index=True)[1]]]
+    inner = np.where(at < 2, 1, np.where(at >= n - 2, -1, 0))
+    ends = y[at] - 2 * y[np.clip(at + inner, 0, n - 1)] + y[np.clip(at + 2 * inner, 0, n - 1)]
+    return at, np.where(inner == 0, d4[at] / 6, ends), z[at]
+
+
+def _spike_rows(survey: DataFrame, k: int, sigmas: float) -> DataFrame:
+    """(__line, __seq, amplitude, z) of every spike. A line goes to one task with its field only, and only its spikes come back."""
+
+    def of_line(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        seq, mag = rows["seq"].to_numpy(), rows["mag"].to_numpy(float)
+        parts = np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows["seg"].to_numpy())) + 1)
+        found = [(seq[p[at]], amplitude, z) for p in parts for at, amplitude, z in [_of_segment(mag[p], k, sigmas)] if len(at)]
+        at, amplitude, z = map(np.concatenate, zip(*found)) if found else np.zeros((3, 0))
+        line = np.full(len(at), None if rows["line"].isna().iloc[0] else rows["line"].iloc[0], object)
+        return pd.DataFrame({"__line": pd.Series(line, dtype=object), "__seq": at.astype(int), "amplitude": amplitude, "z": z})
+
+    return survey.select("line", "seg", "seq", "mag").groupBy("line").applyInPandas(of_line, "__line string, __seq long, amplitude double, z double")
+
+
 def despike(survey: DataFrame, spec: SurveySpec) -> DataFrame:
     """survey with seg, pos, amplitude, z (null but at spikes) and cleaned.
 
     The fourth difference of a spike stands out against the running scale of its neighbours; of a run of candidates the largest is the spike. Ends are
-    extended along their last two samples; missing samples are filled linearly and never are spikes. All windows lie within a segment of a line,
-    so that one exchange by line serves them all.
+    extended along their last two samples; missing samples are filled linearly and never are spikes. Segments of a line are taken one by one, as arrays.
     """
-    keys, k = ["line", "seg"], spec.spike_window
-    whole = Window.partitionBy(*keys)
-    by = whole.orderBy("seq")
-    df = with_segments(survey, spec.max_gap).withColumns({"__y": F.col("mag"), "__n": F.count("*").over(whole), "__known": F.count("mag").over(whole)})
-    df = R.interpolated(df, keys, "seq", "__y")
-    y, p, n = F.col("__y"), F.col("pos"), F.col("__n")
-    back, ahead = [F.lag("__y", i).over(by) for i in (1, 2)], [F.lead("__y", i).over(by) for i in (1, 2)]
-    before = F.when(p == 1, 2 * y - ahead[0]).otherwise(back[0]), F.when(p == 1, 3 * y - 2 * ahead[0]).when(p == 2, 2 * back[0] - y).otherwise(back[1])
-    after = F.when(p == n, 2 * y - back[0]).otherwise(ahead[0]), F.when(p == n, 3 * y - 2 * back[0]).when(p == n - 1, 2 * ahead[0] - y).otherwise(ahead[1])
-    d4 = before[1] - 4 * before[0] + 6 * y - 4 * after[0] + after[1]
-    outer = F.when(p <= 2, y - (2 * ahead[0] - ahead[1])).when(p >= n - 1, y - (2 * back[0] - back[1]))
-    df = df.withColumns({"__d4": d4, "__outer": outer}).withColumn("__size", F.abs("__d4"))
-    df = R.running_median(df, keys, "seq", "__size", k, "__median")
-    floor = 0.5 * 1.4826 * F.median("__size").over(whole)
-    scale = F.greatest(1.4826 * R.running(F.max, F.col("__median"), keys, "seq", k), F.when(floor > 0, floor).otherwise(F.lit(float(np.finfo(float).eps))))
-    df = df.withColumn("__z", F.col("__d4") / scale)
-    df = df.withColumn("__hit", F.coalesce(F.col("mag").isNotNull() & (F.col("__known") >= 7) & (F.abs("__z") > spec.spike_nsigma), F.lit(False)))
-    df = df.withColumn("__run", p - F.row_number().over(Window.partitionBy(*keys, "__hit").orderBy("seq")))
-    first = F.row_number().over(Window.partitionBy(*keys, "__hit", "__run").orderBy(F.col("__size").desc(), "seq")) == 1
-    df = df.withColumn("__spike", F.col("__hit") & first)
-    df = df.withColumns({"amplitude": F.when(F.col("__spike"), F.coalesce("__outer", F.col("__d4") / 6)), "z": F.when(F.col("__spike"), F.col("__z"))})
-    df = df.withColumn("cleaned", F.col("mag") - F.coalesce("amplitude", F.lit(0.0)))
-    return df.drop("__y", "__n", "__known", "__d4", "__outer", "__size", "__median", "__z", "__hit", "__run", "__spike")
+    df = with_segments(survey, spec.max_gap)
+    found = _spike_rows(df, spec.spike_window, spec.spike_nsigma)
+    df = df.join(found, df["line"].eqNullSafe(found["__line"]) & (df["seq"] == found["__seq"]), "left").drop("__line", "__seq")
+    return df.withColumn("cleaned", F.col("mag") - F.coalesce("amplitude", F.lit(0.0)))
 
 
 def spikes(survey: DataFrame, spec: SurveySpec) -> CheckResult:

@@ -20,4 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["cut_path"] = path
+    return out
+
+
+def free(*cuts: DataFrame) -> None:
+    """Empties the folders of frames that cut returned (others are left alone), once nothing reads them any more."""
+    for df in cuts:
+        if "cut_path" in df.__dict__:
+            df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(df.__dict__["cut_path"])

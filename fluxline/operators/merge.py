@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from .lineage import cut
 
 #: Seconds of a bucket of time, within which samples meet fixes.
 BUCKET = 3600
@@ -29,15 +30,15 @@ def intervals(points: DataFrame, values: list[str]) -> DataFrame:
     return p.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("t0")), _bucket(F.col("t1")))))
 
 
-def at_times(samples: DataFrame, points: DataFrame, values: list[str]) -> DataFrame:
+def at_times(samples: DataFrame, points: DataFrame, values: list[str], how: str = "inner") -> DataFrame:
     """samples (t, further columns) with each value linear between the points around, gap, the seconds to the nearer one, and t0, that before.
 
-    A sample outside all points has no row, one at a point a row for each of its two intervals, with the same values.
+    A sample outside all points has no row (how="left": nulls), one at a point a row for each of its two intervals, with the same values.
     """
     iv = intervals(points, values)
     s = samples.withColumn("__b", _bucket(F.col("t")))
     on = (F.col("__b") == F.col("bucket")) & (F.col("t") >= F.col("t0")) & (F.col("t") <= F.col("t1"))
-    met = s.join(iv, on)
+    met = s.join(iv, on, how)
     share = (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     met = met.withColumns({v: F.col(f"{v}0") + (F.col(f"{v}1") - F.col(f"{v}0")) * share for v in values}).withColumn("gap", F.least(F.col("t") - F.col("t0"), F.col("t1") - F.col("t")))
     return met.drop("__b", "bucket", *(f"{v}{i}" for v in values for i in (0, 1)), "t1")
@@ -63,10 +64,14 @@ def merge_streams(mag: DataFrame, gps: DataFrame, lag: float = 0.0, max_gap: flo
     placed = at_times(samples, fixes, ["lon", "lat"]).filter(F.col("gap") <= max_gap)
     placed = placed.groupBy("id").agg(*(F.min_by(c, "t0").alias(c) for c in ("row", "t", "lon", "lat")))
     if "alt" in gps.columns:
-        high = at_times(samples.select("id", "t"), fixes.filter(G.finite(F.col("alt"))), ["alt"]).groupBy("id").agg(F.min_by("alt", "t0").alias("gps_alt"))
-        placed = placed.join(high, "id", "left")
+        # rows go on to their altitudes with their numbers: taken a second time, the numbers could differ
+        high = at_times(placed, fixes.filter(G.finite(F.col("alt"))), ["alt"], "left")
+        placed = high.groupBy("id").agg(*(F.first(c).alias(c) for c in ("row", "t", "lon", "lat")), F.min_by("alt", "t0").alias("gps_alt"))
     else:
         placed = placed.withColumn("gps_alt", F.lit(None).cast("double"))
+    placed = cut(placed)
+    if placed.isEmpty():
+        raise ValueError("no sample has a GPS fix within max_gap")
     if origin:
         lon0, lat0 = F.lit(float(origin[0])), F.lit(float(origin[1]))
     else:

@@ -41,10 +41,11 @@ def flag_runs(marked: DataFrame, check: str, keys: list[str], value: Column, thr
 
 def interpolated(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Fills nulls of value linearly by order, ends with the nearest value."""
-    back = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys)
+    back = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = w.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)  # a frame to the end would be taken anew for every row
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    a, b = F.last(known, True).over(back), F.first(known, True).over(ahead)
+    a, b = F.last(known, True).over(back), F.last(known, True).over(ahead)
     between = a["v"] + (b["v"] - a["v"]) * (F.col(order) - a["o"]) / F.when(b["o"] > a["o"], b["o"] - a["o"])
     return df.withColumn(value, F.coalesce(F.col(value), between, a["v"], b["v"]))
 

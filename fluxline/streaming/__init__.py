@@ -1 +1,5 @@
-"""Part of fluxline."""
+"""Checks of a survey while it is flown, with Structured Streaming."""
+
+from .gaps import watch
+
+__all__ = ["watch"]
