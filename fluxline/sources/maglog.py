@@ -82,7 +82,8 @@ def parse_mag_log(lines: DataFrame, form: MagFormat | str = "geometrics", date:
     if f.prefix:
         df = df.filter(F.col("value").rlike(f.prefix))
     if f.strip:
-        df = df.withColumn("value", F.expr("substring(value, length(regexp_extract(value, strip, 0)) + 1)".replace("strip", "'" + f.strip.replace("\\", "\\\\").replace("'", "\\'") + "'"))) if f.strip.startswith("^") else df.withColumn("value", F.regexp_replace("value", f.strip, ""))
+        rest = F.substring("value", F.length(F.regexp_extract("value", f.strip, 0)) + 1, F.length("value"))
+        df = df.withColumn("value", rest if f.strip.startswith("^") else F.regexp_replace("value", f.strip, ""))
     # a trailing separator makes no field
     df = df.withColumn("p", F.split("value", f.sep)).withColumn("p", F.when(F.element_at("p", -1) == "", F.slice("p", F.lit(1), F.size("p") - 1)).otherwise(F.col("p")))
     df = df.filter(F.size("p") >= max(f.columns.values()))
