@@ -247,10 +247,10 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 
 def _without_misspelt(docs: DataFrame, distinct: DataFrame, words: DataFrame, split: bool) -> DataFrame:
-    """words with copies less those in texts that hold a segment which some side misspells; usually there is none."""
-    bad = distinct.join(words, ["t1", "t2"], "left_anti").select("t1", "t2")
-    if bad.isEmpty():
+    """words with copies less those in texts that hold a segment which some side misspells; usually there is none, and words are as many as segments."""
+    if distinct.count() == words.count():
         return words
+    bad = distinct.join(words, ["t1", "t2"], "left_anti").select("t1", "t2")
     rows = _hashed(docs.select(F.monotonically_increasing_id().alias("row"), F.explode(segments(F.col("text"), split)).alias("segment")), "segment", "t1", "t2")
     rows = C.cut(rows.join(bad.withColumn("bad", F.lit(1)), ["t1", "t2"], "left").select("row", "t1", "t2", "bad"))
     gone = rows.join(rows.filter("bad = 1").select("row").distinct(), "row", "left_semi").groupBy("t1", "t2").agg(F.count("*").alias("gone"))
