@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from .numbered import numbered
+
 
 def by_line():
     return Window.partitionBy("line").orderBy("seq")
@@ -14,7 +16,7 @@ def by_line():
 def as_survey(df: DataFrame, origin: tuple[float, float] | None = None) -> DataFrame:
     """Validate and complete a table of samples: line, time, x, y and mag or mag_raw; all other columns pass through.
 
-    Adds line_type (a line named T... is a tie), fid (an increasing number), the missing one of mag and mag_raw, radar_alt, lon and lat (from x, y and
+    Adds line_type (a line named T... is a tie), fid (the number of the input row), the missing one of mag and mag_raw, radar_alt, lon and lat (from x, y and
     origin; null without one; both are made anew if either is missing), seq (place in the line by time, then fid) and i (place in the survey:
     traverses, then ties, by line and time). NaN and infinite numbers become null, and so do names of lines that are blank.
     """
@@ -29,7 +31,7 @@ def as_survey(df: DataFrame, origin: tuple[float, float] | None = None) -> DataF
     else:
         df = df.withColumn("line_type", F.when(F.col("line_type").isin("tie", "traverse"), F.col("line_type")).otherwise(F.raise_error("line_type must be traverse or tie")))
     if "fid" not in df.columns:
-        df = df.withColumn("fid", F.monotonically_increasing_id() + 1)
+        df = numbered(df, "fid")
     for a, b in (("mag", "mag_raw"), ("mag_raw", "mag")):
         if a not in df.columns:
             df = df.withColumn(a, F.col(b))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.survey import as_survey
-from .lines import up_to_here
+from .lines import last_above, places
 
 #: Texts that stand for no value.
 MISSING = ["*", "NA", "-99999", "1e+32"]
@@ -41,7 +41,7 @@ def parse_xyz(lines: DataFrame, columns: list[str] | None = None, col_map: dict[
     if unknown:
         raise ValueError(f"col_map: no column {unknown[0]}")
     header = F.when(F.col("kind") == "header", F.struct(F.lower(F.regexp_extract("value", HEADER, 1)).alias("type"), F.regexp_extract("value", HEADER, 2).alias("name")))
-    rows = rows.withColumn("header", F.last(header, True).over(up_to_here())).filter("kind = 'data'").withColumn("fields", F.split(F.trim("value"), r"\s+"))
+    rows = last_above(rows.withColumn("header", header), "header").filter("kind = 'data'").withColumn("fields", F.split(F.trim("value"), r"\s+"))
     whole = F.when(F.size("fields") == len(columns), F.col("fields")).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(": line "), F.col("n"), F.lit(f" has not {len(columns)} fields"))).cast("array<string>"))
     rows = rows.withColumn("fields", whole)
     number = lambda i: F.when(~F.col("fields")[i].isin(MISSING), F.col("fields")[i].try_cast("double"))
@@ -52,8 +52,10 @@ def parse_xyz(lines: DataFrame, columns: list[str] | None = None, col_map: dict[
 
 
 def read_xyz(lines: DataFrame, columns: list[str] | None = None, col_map: dict[str, str] | None = None, time_origin: str = "1970-01-01", origin: tuple[float, float] | None = None) -> DataFrame:
-    """The survey of XYZ lines; time is in seconds from time_origin (UTC)."""
+    """The survey of XYZ lines; time is in seconds from time_origin (UTC). Without a column fid, fid is the number of the data row, by file."""
     df = parse_xyz(lines, columns, col_map)
+    if "fid" not in df.columns:
+        df = places(df, "fid")
     if "time" in df.columns:
         start = F.unix_micros(F.lit(time_origin).cast("timestamp"))
         df = df.withColumn("time", F.timestamp_micros(start + F.round(F.col("time") * 1e6).cast("long")))
