@@ -2,10 +2,11 @@
 
 Queries and candidates are dealt into blocks by a hash of their ids and meet once a pair of blocks, so a task holds one block of each whatever
 the tables' size. Within a pair, every dimension is a list of the candidates sorted by component. A query reads the list of each dimension in
-sequence from its end that scores higher, all lists to the same depth, a ``STEPS``-th of a list a step. What has been read of a candidate plus, for the rest, the
-list's far end is a lower bound of its score; with the last value read it is an upper bound. The bar of a query is its k-th best lower bound; an
-outsider cannot qualify once its upper bound is under the bar. A query stops reading when ``FEW`` times k candidates at most can qualify;
-of these the final scores are resolved exactly. A query first meets one block, its home; the k-th score there is its least bar in all other blocks.
+sequence from its end that scores higher, all lists to the same depth, a ``STEPS``-th of a list a step; bounds are taken after the steps ``CHECKED``, for
+all queries of the block by matrix products. What has been read of a candidate plus, for the rest, the list's far end is a lower bound of its score; with
+the last value read it is an upper bound. The bar of a query is its k-th best lower bound; an outsider cannot qualify once its upper bound is under the
+bar. A query stops reading when ``FEW`` times k candidates, or one of ``RESOLVED`` of the block, at most can qualify; of these the final scores are
+resolved exactly. A query first meets one block, its home; the k-th score there is its least bar in all other blocks.
 The best k of each pair of blocks merge by query. How much of the lists a query reads before it stops is told by ``reads``.
 
 Components become floor(256 * x). Bounds are doubles, widened by more than their rounding; final scores are 64-bit integers. Ties go to the
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-QUERY_BLOCK, CANDIDATE_BLOCK, FEW, STEPS = 512, 4096, 8, 16
+QUERY_BLOCK, CANDIDATE_BLOCK, FEW, RESOLVED, STEPS = 512, 4096, 8, 12, 16
+#: Steps after which bounds are taken: doubling to a half, then by eighths.
+CHECKED = (1, 2, 4, 8, 10, 12, 14, 16)
 FOUND = "query_id long, vec_id long, score long, share double"
 
 
@@ -35,39 +38,41 @@ def nra(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarr
     rank = np.empty_like(lists)
     np.put_along_axis(rank, lists, np.arange(n)[:, None], axis=0)
     x, queries = x.astype(float), queries.astype(float)
-    slack = 2.0**-48 * (1 + np.abs(queries) @ np.abs(x).max(axis=0))
+    slack = 2.0**-44 * (1 + np.abs(queries) @ np.abs(x).max(axis=0))
     bars = np.full(len(queries), -np.inf) if bars is None else np.where(np.isnan(bars), -np.inf, bars)
+    own_query, own_row = np.nonzero(query_ids[:, None] == ids[None, :])
     kept, share = [np.zeros(0, np.int64)] * len(queries), np.ones(len(queries))
-    todo, depth = np.arange(len(queries)), 0
+    todo, enough = np.arange(len(queries)), max(FEW * k, n // RESOLVED)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    worst = up * x.min(axis=0) + down * x.max(axis=0)  # by query and dimension
-    lower = np.repeat(worst.sum(axis=1)[None, :], n, axis=0)  # by candidate and query
-    own = ids[:, None] == query_ids[None, :]
-    while True:
-        # bounds of what was read so far
+    worst_up, worst_down = up * x.min(axis=0), down * x.max(axis=0)  # by query and dimension
+    for step in CHECKED if n > enough else (0,):
+        # bounds of all that is read down to this depth, by query and candidate: sums over the lists read from the top and from the bottom
+        depth = -(-n * step // STEPS)
+        top, bottom = (rank < depth).astype(float), (rank >= n - depth).astype(float)
         front_high, front_low = (x[lists[depth - 1], np.arange(dims)], x[lists[n - depth], np.arange(dims)]) if depth else (x.max(axis=0), x.min(axis=0))
-        gap = up[todo] * front_high + down[todo] * front_low - worst[todo]
-        upper = lower + (rank >= depth) @ np.where(queries[todo] >= 0, gap, 0).T + (rank < n - depth) @ np.where(queries[todo] < 0, gap, 0).T
+        low_up, low_down = worst_up[todo], worst_down[todo]
+        read = np.hstack([top * x, bottom * x, top, bottom])
+        lower = np.hstack([up[todo], down[todo], -low_up, -low_down]) @ read.T
+        lower += (low_up + low_down).sum(axis=1)[:, None]
+        gap_up, gap_down = up[todo] * front_high - low_up, down[todo] * front_low - low_down
+        upper = np.hstack([gap_up, gap_down]) @ -read[:, 2 * dims :].T
+        upper += lower
+        upper += (gap_up + gap_down).sum(axis=1)[:, None]
+        place = np.searchsorted(todo, own_query)
+        mine = (place < len(todo)) & (todo[np.minimum(place, len(todo) - 1)] == own_query)
+        lower[place[mine], own_row[mine]] = upper[place[mine], own_row[mine]] = -np.inf
         bar = bars[todo]
         if n > k:
-            sure = np.where(own[:, todo], -np.inf, lower)
-            bar = np.maximum(bar, np.partition(sure, n - k, axis=0)[n - k])
-        qualify = (upper >= bar - 2 * slack[todo]) & ~own[:, todo]
-        done = (qualify.sum(axis=0) <= FEW * k) | (depth >= n)
+            bar = np.maximum(bar, np.partition(lower, n - k, axis=1)[:, n - k])
+        qualify = upper >= (bar - 2 * slack[todo])[:, None]
+        qualify[place[mine], own_row[mine]] = False
+        done = (qualify.sum(axis=1) <= enough) | (depth >= n)
         for at in np.flatnonzero(done):
-            kept[todo[at]], share[todo[at]] = np.flatnonzero(qualify[:, at]), depth / n
-        todo, lower = todo[~done], lower[:, ~done]
+            kept[todo[at]], share[todo[at]] = np.flatnonzero(qualify[at]), depth / n
+        todo = todo[~done]
         if not len(todo):
-            return kept, share
-        # the next step of every list
-        deeper = min(n, depth + max(1, -(-n // STEPS)))
-        for d in range(dims):
-            for side, rows in ((queries[todo, d] >= 0, lists[depth:deeper, d]), (queries[todo, d] < 0, lists[n - deeper : n - depth, d])):
-                if side.all():
-                    lower[rows] += np.outer(x[rows, d], queries[todo, d]) - worst[todo, d]
-                elif side.any():
-                    lower[np.ix_(rows, side)] += np.outer(x[rows, d], queries[todo[side], d]) - worst[todo[side], d]
-        depth = deeper
+            break
+    return kept, share
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
