@@ -89,6 +89,16 @@ def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[starts], np.add.reduceat(counts, starts)
 
 
+def _own(streams: list[bytes], sizes: list[int]) -> np.ndarray:
+    """Distinct strings of a pack, ascending. They are sorted here, as numpy's unique hashes instead, which takes several times as long on so many."""
+    return _sorted_set(np.concatenate([_sorted_set(strings(streams[lo:hi])) for lo, hi in _blocks(sizes)]))
+
+
+def _sorted_set(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def _bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     near = keys >> np.uint64(8 * (DEPTH + 1 - NEAR))
     return (((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
@@ -357,7 +367,7 @@ def _score(n: int, occurrences: int, distinct: int):
         found = {(a["kind"], a["bucket"]): a["found"] for a in answers.to_pylist()}
         pack = packs.to_pylist()[0]
         streams = _streams(pack)
-        own = np.unique(np.concatenate([np.unique(strings(streams[lo:hi])) for lo, hi in _blocks(pack["sizes"])]))
+        own = _own(streams, pack["sizes"])
         bucket = _bucket_of(own, n)
         log_p = np.zeros(len(own), np.float32)
         order = np.argsort(bucket, kind="stable")
