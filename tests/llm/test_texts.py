@@ -1,10 +1,11 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from fluxline.llm import common as C
-from fluxline.llm import fingerprint, langid, lm, sentencepiece, toxicity
+from fluxline.llm import fingerprint, langid, lm, mixing, sentencepiece, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [(9000001, None), (9000002, ""), (9000003, "½ ² Ⅷ 123"), (9000004, "word " * 30000), (9000004, "word " * 30000), (None, "no id at all")]
@@ -82,3 +83,11 @@ def test_pieces_are_the_best_by_brute_force():
                         best[j] = best[i] + score[spelled[i:j]]
         ids, ends = sentencepiece.Encoder(v)([text])
         assert sum(v.score[i] for i in ids) == pytest.approx(best[-1]) and v.decode(ids, ends).to_pylist() == [text]
+
+
+def test_sizes_of_the_mix_make_no_lists_of_words(spark):
+    texts = [None, "", " \t\n", "a", " one  two three \r\n", "\x0b\U0001f600\U0001f600 x\x00y\x1cz\x0c", "$1 \\ $", "é 　 \x85"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = df.select("id", mixing.n_words(mixing.C.text_of(df)).alias("n"))
+    assert {r.id: r.n for r in got.collect()} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+    assert "regexp_extract_all" not in mixing.units_of(df.withColumnRenamed("id", "doc_id").withColumn("source", F.lit("s")))._jdf.queryExecution().optimizedPlan().toString()
