@@ -129,8 +129,9 @@ def _of_segment(mag: np.ndarray, k: int, sigmas: float) -> tuple[np.ndarray, np.
     if known.sum() < 7:
         return np.zeros(0, int), np.zeros(0), np.zeros(0)
     y = np.interp(np.arange(n), np.flatnonzero(known), mag[known])
-    straight_on = np.concatenate([y[0] + (y[0] - y[1]) * np.array([2, 1]), y, y[-1] + (y[-1] - y[-2]) * np.array([1, 2])])
-    d4 = np.diff(straight_on, 4)
+    e = np.concatenate([[3 * y[0] - 2 * y[1], 2 * y[0] - y[1]], y, [2 * y[-1] - y[-2], 3 * y[-1] - 2 * y[-2]]])
+    # term by term as runs.fourth_difference: sums in another order differ in their last bits, which decide between equal candidates and at decimal halves
+    d4 = e[:-4] - 4 * e[1:-3] + 6 * e[2:-2] - 4 * e[3:-1] + e[4:]
     size = np.abs(d4)
     width = min(k, n - 1 + n % 2)
     medians = np.median(np.lib.stride_tricks.sliding_window_view(size, width), axis=-1)
@@ -146,7 +147,7 @@ def _of_segment(mag: np.ndarray, k: int, sigmas: float) -> tuple[np.ndarray, np.
     order = np.lexsort((hit, -size[hit], run))
     at = hit[order[np.unique(run[order], return_index=True)[1]]]
     inner = np.where(at < 2, 1, np.where(at >= n - 2, -1, 0))
-    ends = y[at] - 2 * y[np.clip(at + inner, 0, n - 1)] + y[np.clip(at + 2 * inner, 0, n - 1)]
+    ends = y[at] - (2 * y[np.clip(at + inner, 0, n - 1)] - y[np.clip(at + 2 * inner, 0, n - 1)])
     return at, np.where(inner == 0, d4[at] / 6, ends), z[at]
 
 
