@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..spec import SurveySpec
 from . import runs as R
+from .lineage import cut
 from .survey import axes, by_line, with_segments, with_steps
 
 
@@ -173,7 +174,7 @@ def despike(survey: DataFrame, spec: SurveySpec) -> DataFrame:
     extended along their last two samples; missing samples are filled linearly and never are spikes. Segments of a line are taken one by one, as arrays.
     """
     df = with_segments(survey, spec.max_gap)
-    found = _spike_rows(df, spec.spike_window, spec.spike_nsigma)
+    found = cut(_spike_rows(df, spec.spike_window, spec.spike_nsigma))  # its shuffles go before those of the survey come
     df = df.join(found, df["line"].eqNullSafe(found["__line"]) & (df["seq"] == found["__seq"]), "left").drop("__line", "__seq")
     return df.withColumn("cleaned", F.col("mag") - F.coalesce("amplitude", F.lit(0.0)))
 
